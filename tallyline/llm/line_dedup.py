@@ -59,7 +59,7 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         more = some.join(F.broadcast(firsts), ["h1", "h2"]).filter("id <> first")
         gone = gone.unionByName(more.select("id", "row_hash", "pos"))
 
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.pmod("pos", F.lit(64)).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("pos", F.lit(64)).cast("int"))
     words = gone.distinct().groupBy("id", "row_hash", (F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"), F.count(F.lit(1)).alias("n"))
     docs_words = words.groupBy("id", "row_hash").agg(
         F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("keep")))).alias("s"), F.sum("n").alias("n_dropped")
