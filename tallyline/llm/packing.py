@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -13,80 +16,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ._spark import stage
-from ._text import raw, slices, words
+from ._text import LOWER, raw, slices, span_hash, words
 
 CAPACITY = 2048
 #: Pieces of at most CAPACITY // SMALL tokens are small; the rest falls into GROUPS groups of equal number.
 SMALL, GROUPS = 8, 96
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Word parts whose ids a worker remembers, about 60 bytes each.
+CACHE_WORDS = 2_000_000
 #: Sequences, or small pieces, in one best-fit block.
 BLOCK = 20_000
 
 
 # ---- tokens -----------------------------------------------------------------
 
+#: ASCII bytes that are neither letters, digits nor white space.
+_MARKS = np.zeros(256, bool)
+_MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+_WORDY = np.zeros(256, bool)
+_WORDY[[*range(48, 58), *range(97, 123)]] = True
 
-def _tokenizer(path: str):
-    """The tokenizer and its word cache, kept for the life of a worker."""
+
+class _Cache:
+    """Ids of the word parts a worker has seen, by sorted 64-bit hash; entry 0 is the closing id 0."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.path, self.tok = path, Tokenizer.from_file(path)
+        self.model = self.tok.model
+        # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: 256 + i for i, b in enumerate(rest)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)
+        self.ids = np.zeros(1, np.uint32)
+
+    def _ids_of(self, parts: list[bytes]) -> list[list[int]]:
+        """Ids of each part. Letters alone go straight to the merges; others through the whole tokenizer."""
+        out, hard = [], []
+        for p in parts:
+            x = p.decode("utf-8", "replace")
+            ids = None
+            if x.isalpha() and (x.isascii() or max(x) < "\u0250" and unicodedata.is_normalized("NFC", x)):
+                x = x if x.isascii() else x.lower()
+                if x.isalpha():
+                    if not x.isascii():
+                        x = x.encode().decode("latin-1").translate(self.alphabet)
+                    ids = [t.id for t in self.model.tokenize(x)] if x.islower() or not x.isascii() else None
+            if ids is None:
+                hard.append(len(out))
+            out.append(ids)
+        for a in range(0, len(hard), 4096):
+            at = hard[a : a + 4096]
+            for i, e in zip(at, self.tok.encode_batch([parts[i].decode("utf-8", "replace") for i in at], add_special_tokens=False)):
+                out[i] = e.ids
+        return out
+
+    def entries(self, h: np.ndarray, part_of) -> np.ndarray:
+        """Entry of each hash (sorted, distinct); part_of(i) gives the bytes of an unseen one."""
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        new = np.flatnonzero(self.hash[at] != h) if len(self.hash) else np.arange(len(h))
+        if len(new):
+            ids = self._ids_of([part_of(i) for i in new.tolist()])
+            size = np.array([len(x) for x in ids], np.int64)
+            first = len(self.start)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.length = np.concatenate([self.length, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            where = np.searchsorted(self.hash, h[new])
+            self.hash = np.insert(self.hash, where, h[new])
+            self.entry = np.insert(self.entry, where, np.arange(first, first + len(new)))
+            at = np.searchsorted(self.hash, h)
+        return self.entry[at] if len(h) else np.zeros(0, np.int64)
+
+
+def _cache(path: str) -> _Cache:
+    """The tokenizer and its cache, kept for the life of a worker."""
     kept = sys.modules.setdefault("_tallyline_tokens", types.ModuleType("_tallyline_tokens"))
     if getattr(kept, "path", None) != path:
-        from tokenizers import Tokenizer
+        kept.cache, kept.path = _Cache(path), path
+    if len(kept.cache.hash) > CACHE_WORDS:
+        kept.cache.clear()
+    return kept.cache
 
-        kept.tok, kept.path = Tokenizer.from_file(path), path
-        kept.index, kept.ids, kept.start, kept.length = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        kept.used = 0
-    return kept
-
-
-def _learn(kept, new: list[bytes]) -> None:
-    """Put the ids of unseen words into the cache."""
-    n = len(kept.index)
-    while n + len(new) > len(kept.start):
-        kept.start, kept.length = (np.concatenate([x, np.zeros_like(x)]) for x in (kept.start, kept.length))
-    for a in range(0, len(new), 4096):
-        part = new[a : a + 4096]
-        for w, e in zip(part, kept.tok.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            ids = e.ids
-            while kept.used + len(ids) > len(kept.ids):
-                kept.ids = np.concatenate([kept.ids, np.zeros_like(kept.ids)])
-            kept.ids[kept.used : kept.used + len(ids)] = ids
-            kept.start[n], kept.length[n] = kept.used, len(ids)
-            kept.index[w] = n
-            kept.used += len(ids)
-            n += 1
+
+def _parts(low: np.ndarray, off: np.ndarray, whole: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the parts of words: a word, or its stem and the marks at its end.
+
+    This tokenizer never joins white space, nor a letter or digit and a mark; a word is
+    cut where its closing ASCII marks, sixteen at most, follow an ASCII letter or digit
+    or a Latin-1 letter. Words with a byte position of `whole` are not cut.
+    """
+    s, e, who = words(low, off)
+    cut = e.copy()
+    todo = np.arange(len(s))
+    for _ in range(17):
+        todo = todo[(cut[todo] > s[todo])]
+        todo = todo[_MARKS[low[cut[todo] - 1]]]
+        if not len(todo):
+            break
+        cut[todo] -= 1
+    cut[todo] = e[todo]
+    last, before = low[np.maximum(cut - 1, 0)], low[np.maximum(cut - 2, 0)]
+    latin = (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (cut - 2 >= s)
+    cut = np.where((cut > s) & (_WORDY[last] | latin), cut, e)
+    for i in (np.searchsorted(s, whole, "right") - 1).tolist():
+        cut[i] = e[i]
+    tail = cut < e
+    at = np.cumsum(tail) - tail + np.arange(len(s))
+    n = len(s) + int(tail.sum())
+    ps, pe, pw = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    ps[at], pe[at], pw[at] = s, cut, who
+    ps[at[tail] + 1], pe[at[tail] + 1], pw[at[tail] + 1] = cut[tail], e[tail], who[tail]
+    return ps, pe, pw
 
 
 def _encode(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the rows one after another, and where each row's begin; each row ends with id 0.
 
-    White space separates words for this tokenizer, so a text's ids are those of its
-    ASCII-space-separated words in order; each distinct word is encoded once a worker.
+    A text's ids are those of its word parts in order (A-Z lower-cased first, as the
+    tokenizer does, but for words that may hold a special token).
     """
-    kept = _tokenizer(path)
-    s, e, who = words(data, off)
+    cache = _cache(path)
+    low = LOWER[data]
     text = data.tobytes()
-    if len(kept.index) > CACHE_WORDS:
-        kept.path = None
-        kept = _tokenizer(path)
-    known = kept.index
-    ws = [text[a:b] for a, b in zip(s.tolist(), e.tolist())]
-    at = list(map(known.get, ws))
-    if None in at:
-        _learn(kept, list(dict.fromkeys(w for w, i in zip(ws, at) if i is None)))
-        at = list(map(known.get, ws))
-    at = np.array(at, np.int64)
-    size = kept.length[at].astype(np.int64)
-    rows = np.bincount(who, weights=size, minlength=len(off) - 1).astype(np.int64) + 1
-    begin = np.zeros(len(off), np.int64)
-    np.cumsum(rows, out=begin[1:])
-    out = np.zeros(begin[-1], np.uint32)
+    special = [m.start() for m in re.finditer(rb"<\|", text)]
+    if special:
+        s, e, _ = words(data, off)
+        for i in (np.searchsorted(s, special, "right") - 1).tolist():
+            low[s[i] : e[i]] = data[s[i] : e[i]]
+    s, e, who = _parts(low, off, special)
+    h = span_hash(low, s, e)
+    distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+    text = low.tobytes()
+    entry = cache.entries(distinct, lambda i: text[s[first[i]] : e[first[i]]])[back]
+    rows = len(off) - 1
+    upto = np.searchsorted(who, np.arange(rows), "right")
+    entry = np.insert(entry, upto, 0)
+    size = cache.length[entry]
     ends = np.cumsum(size)
-    put = ends - size + who
-    src = np.repeat(kept.start[at] - (ends - size), size) + np.arange(int(size.sum()))
-    dst = np.repeat(put - (ends - size), size) + np.arange(int(size.sum()))
-    out[dst] = kept.ids[src]
-    return out, begin
+    begin = np.zeros(rows + 1, np.int64)
+    begin[1:] = ends[upto + np.arange(rows)]
+    return cache.ids[np.repeat(cache.start[entry] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)], begin
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
