@@ -24,11 +24,11 @@ from .components import components
 #: Dimensions of a count vector; children of a tree node.
 DIMS, FANOUT = 128, 16
 #: Sets joined by one task; leaders that tie the blocks of a larger cluster together.
-BLOCK, LEADERS = 4000, 32
+BLOCK, LEADERS = 2000, 32
 #: Share of the distinct sets from which on a shingle is left out of signatures (never of sets).
-FREQUENT = 0.005
-#: Signatures that a task holds before it sends them.
-HELD = 2_000_000
+FREQUENT = 0.001
+#: Signatures, or shingles to count, that a task holds before it sends them.
+HELD = 1_500_000
 #: Largest number of rows (ids and hashes) that is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -92,12 +92,11 @@ def size_levels(num: int, den: int, most: int) -> np.ndarray:
 def _level_groups(bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Per level: the most shingles in which a linked pair differs, and the groups used.
 
-    The groups are more than the difference plus one by about as many as stay empty, so
-    that most sets can leave empty groups out.
+    There are enough groups beyond the difference that a set hardly ever fills so few of
+    them that it has to sign by its empty groups.
     """
     far = (bounds[1:] - 1) * (den - num) // num
-    fill = bounds[:-1] / np.maximum(far, 1)
-    spare = np.where(far > 0, np.ceil(1.3 * far * np.exp(-fill) + 2), 0).astype(np.int64)
+    spare = np.where(far > 0, np.ceil(0.15 * far + 5), 0).astype(np.int64)
     return far, far + 1 + spare
 
 
@@ -282,21 +281,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
+        names = ["id", "n", "c1", "c2", "often"]
+        held, size, seen = [], 0, set()
+
+        def often() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            m = c >= max(4, len(seen) * FREQUENT)
+            found = [{"h": a, "c": b} for a, b in zip(h[m].view(np.int64).tolist(), c[m].tolist())]
+            null = pa.nulls(1, pa.int64())
+            return pa.RecordBatch.from_arrays([null, null, null, null, pa.array([found], pair)], names)
+
         for batch in batches:
             for part in slices(batch):
                 sh, begin = shingle_sets(*raw(part.column("text")), k)
                 c1, c2 = set_keys(sh, begin)
-                _, one = np.unique(c1, return_index=True)
-                keep = np.zeros(len(c1), bool)
-                keep[one] = True
-                h, c = np.unique(sh[np.repeat(keep, np.diff(begin))], return_counts=True)
-                m = c >= max(4, len(one) * FREQUENT)
-                often = [list(zip(h[m].view(np.int64).tolist(), c[m].tolist()))] + [None] * (len(c1) - 1)
-                pairs = pa.array([None if x is None else [{"h": a, "c": b} for a, b in x] for x in often], pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(begin)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pairs], ["id", "n", "c1", "c2", "often"])
+                one = np.array([c not in seen and not seen.add(c) for c in c1.tolist()], bool)
+                held.append(sh[np.repeat(one, np.diff(begin))])
+                size += len(held[-1])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(begin)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.nulls(len(c1), pair)], names)
+                if size >= HELD:
+                    yield often()
+                    held, size, seen = [], 0, set()
+        if size:
+            yield often()
 
     base = stage(src.mapInArrow(name, "id bigint, n bigint, c1 bigint, c2 bigint, often array<struct<h: bigint, c: bigint>>"), "sets")
-    classes = stage(base.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    texts = base.filter("often is null")
+    classes = stage(texts.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     n_classes = classes.count()
     often = base.filter("often is not null").select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("c"))
     often = often.filter(F.col("c") >= max(4, int(n_classes * FREQUENT))).orderBy(F.col("c").desc(), "h").limit(100_000).select("h").toPandas()["h"]
@@ -351,7 +363,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.col("rep"), F.coalesce("component", "rep").alias("component"), "rows")
     named = stage(named.filter("rows > 1 or component <> rep").drop("rows", "rep"), "named")
-    out = base.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    out = texts.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")).alias("component_id"))
 
 
