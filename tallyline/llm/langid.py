@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import stage
+from ._spark import small_batches, stage
 from ._text import _C1, mix, raw, slices
 
 GRAMS = (3, 4)
@@ -62,6 +62,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
     N-grams are counted per task, then summed by a shuffle; those with MIN_SHARE of a
     language's n-grams stay, which bounds them by 1 / MIN_SHARE a language.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col, text_col).alias("k"))
     n = labelled.filter(F.col(lang_col).isNotNull()).count()
@@ -116,6 +117,7 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
     texts, texts without a letter and an empty model give `und` and score 0. No shuffle;
     the filter is SLOTS words a task whatever the data's size.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import shuffle_partitions, stage
+from ._spark import shuffle_partitions, small_batches, stage
 from ._text import _C1, _C2, LOWER, mix, raw, slices, span_hash, windows, words
 from .components import components
 
@@ -277,6 +277,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     any of these numbers.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     k = words_a_shingle
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
 

@@ -15,14 +15,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ._spark import stage
+from ._spark import small_batches, stage
 from ._text import LOWER, raw, slices, span_hash, words
 
 CAPACITY = 2048
 #: Pieces of at most CAPACITY // SMALL tokens are small; the rest falls into GROUPS groups of equal number.
 SMALL, GROUPS = 8, 96
 #: Word parts whose ids a worker remembers, about 60 bytes each.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 1_000_000
 #: Sequences, or small pieces, in one best-fit block.
 BLOCK = 20_000
 
@@ -171,6 +171,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     alone. Texts longer than `capacity` are cut into pieces of that many tokens, the
     last of which may be shorter; others are one piece.
     """
+    small_batches(docs.sparkSession)
     schema = "id bigint, row_hash bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

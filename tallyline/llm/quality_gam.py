@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import crc_fold
+from ._spark import crc_fold, small_batches
 from ._text import _C1, SPACE, lines, mix, per_row, raw, repeated, seen_before, slices, span_hash, windows, words
 
 #: Largest expected number of labelled rows that the model is fitted on, taken by a hash of the id.
@@ -221,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     their features, never texts, come to the driver. Repeated documents or labels of an
     id count as often as they pair, up to twice max_train rows.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col) != 2))
     n = known.count()
     if n > max_train:
@@ -252,12 +253,14 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
                 p = predict(model, features(*raw(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "id bigint, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the model accepts, all columns unchanged."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

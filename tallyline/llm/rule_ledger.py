@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._spark import small_batches
 from ._text import _C1, SPACE, lines, mix, per_row, raw, repeated, seen_before, slices, span_hash, windows, words
 
 SYMBOL = np.zeros(256, bool)
@@ -103,6 +104,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 cols = [pa.array(np.asarray(m, np.int64)) for m in _measure(*raw(part.column("text")))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *cols], ["id", *MEASURES])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     out = src.mapInArrow(run, "id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES))
     bits = F.lit(0).cast("bigint")

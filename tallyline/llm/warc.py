@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._spark import new_path, stage
+from ._spark import new_path, small_batches, stage
 
 #: Payloads of at least this many bytes may be stored once.
 REVISIT_BYTES = 1000
@@ -83,6 +83,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     digests that repeat, and the html itself moves only when those are too many to
     broadcast. Spark's own writer makes the files, so any file system that it knows will do.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
     digest = src.filter(F.length("html") >= min_bytes).groupBy("sha1").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n"))
