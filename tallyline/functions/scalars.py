@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..plans.errors import InvalidParams
 
@@ -81,7 +81,7 @@ def parse_checked_id(text: str, version: int = CONTRACT) -> bytes:
     return raw[1:-2]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_contract(blobs: pd.Series) -> pd.Series:
     """Checked identifiers of 32-byte contract ids; for output only, never in a filter."""
     return blobs.map(lambda b: None if b is None else checked_id(bytes(b)))
