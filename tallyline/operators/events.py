@@ -39,31 +39,18 @@ class EventFilter:
         return functools.reduce(operator.and_, parts) if parts else F.lit(True)
 
 
-    def coarse(self) -> Column | None:
-        """What a scan can test of this filter: plain comparisons of columns; None if nothing."""
-        parts = []
-        if self.kinds:
-            parts.append(F.col("event_kind").isin(*self.kinds))
-        if self.contracts:
-            parts.append(F.col("contract_id").isin(*self.contracts))
-        topics = [[F.col(f"topic{i + 1}") == w for i, w in enumerate(t[:2]) if w not in (ONE, REST)] for t in self.topics]
-        if topics and all(topics):
-            parts.append(_any([functools.reduce(operator.and_, t) for t in topics]))
-        return functools.reduce(operator.and_, parts) if parts else None
-
-
 def _any(cols: list[Column]) -> Column:
     return functools.reduce(operator.or_, cols)
 
 
 def topic_pattern(pattern: Sequence[str]) -> Column:
-    """The first two places are columns of their own, so that their values reach the scan."""
+    """The number of topics and the first two are columns of their own, so that scans can test them."""
     if not pattern:
         raise InvalidParams("topic pattern cannot be empty")
     if REST in pattern[:-1]:
         raise InvalidParams("** is allowed only as the last segment")
     fixed = pattern[:-1] if pattern[-1] == REST else pattern
-    size = F.size("topics")
+    size = F.col("n_topics")
     out = size >= len(fixed) if pattern[-1] == REST else size == len(fixed)
     for i, want in enumerate(fixed):
         if want != ONE:
@@ -72,18 +59,8 @@ def topic_pattern(pattern: Sequence[str]) -> Column:
 
 
 def matching(df: DataFrame, filters: Sequence[EventFilter]) -> DataFrame:
-    """Rows that one of the filters accepts; all rows without filters.
-
-    The number of topics cannot be tested by a scan, and one such test would keep a
-    whole OR from it. So the part that scans can test goes first, as a filter of its
-    own, unless a filter has no such part and everything has to be read.
-    """
-    if not filters:
-        return df
-    coarse = [f.coarse() for f in filters]
-    if all(c is not None for c in coarse):
-        df = df.filter(_any(coarse))
-    return df.filter(_any([f.column() for f in filters]))
+    """Rows that one of the filters accepts; all rows without filters. One exact predicate of plain column comparisons, which scans can test."""
+    return df.filter(_any([f.column() for f in filters])) if filters else df
 
 
 def page(df: DataFrame, filters: Sequence[EventFilter] = (), after: str | None = None, end: int | None = None, limit: int = 100) -> DataFrame:

@@ -46,7 +46,7 @@ def events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
         "pos", F.lit(0).cast("bigint").alias("event_index"), "ledger_seq", "tx_index", F.lit(0).cast("bigint").alias("op_index"),
         F.col("user_id").alias("contract_id"),
         F.when(F.col("event_type") == "error", 0).otherwise(1).cast("bigint").alias("event_kind"),
-        F.array("event_type", topic2).alias("topics"),
+        F.array("event_type", topic2).alias("topics"), F.lit(2).alias("n_topics"),
         F.col("event_type").alias("topic1"), topic2.alias("topic2"),
         (F.lit(1704067200) + (F.col("ledger_seq") - 1) * 3600).alias("close_time"),
         F.floor(F.col("value") * 100).cast("bigint").alias("fee"),

@@ -13,7 +13,7 @@ from tallyline.plans import requests as rq
 from tallyline.plans.errors import InvalidParams, InvalidRequest, NotFound
 from tallyline.streaming import ingest
 
-EV = "id string, pos bigint, event_index bigint, ledger_seq bigint, tx_index bigint, contract_id bigint, event_kind bigint, topics array<string>, topic1 string, topic2 string"
+EV = "id string, pos bigint, event_index bigint, ledger_seq bigint, tx_index bigint, contract_id bigint, event_kind bigint, topics array<string>, n_topics int, topic1 string, topic2 string"
 
 
 def events(spark, rows):
@@ -21,7 +21,7 @@ def events(spark, rows):
     out = []
     for ledger, t, contract, kind, topics in rows:
         c = Cursor(ledger, t, 0, 0)
-        out.append((str(c), c.pos(), 0, ledger, t, contract, kind, topics, topics[0] if topics else None, topics[1] if len(topics) > 1 else None))
+        out.append((str(c), c.pos(), 0, ledger, t, contract, kind, topics, len(topics), topics[0] if topics else None, topics[1] if len(topics) > 1 else None))
     return spark.createDataFrame(out, EV)
 
 
