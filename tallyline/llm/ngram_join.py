@@ -28,7 +28,7 @@ BLOCK, LEADERS = 2000, 32
 #: Share of the distinct sets from which on a shingle is left out of signatures (never of sets).
 FREQUENT = 0.001
 #: Signatures, or shingles to count, that a task holds before it sends them.
-HELD = 1_500_000
+HELD = 500_000
 #: Largest number of rows (ids and hashes) that is broadcast.
 BROADCAST_ROWS = 300_000
 

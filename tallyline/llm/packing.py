@@ -22,7 +22,7 @@ CAPACITY = 2048
 #: Pieces of at most CAPACITY // SMALL tokens are small; the rest falls into GROUPS groups of equal number.
 SMALL, GROUPS = 8, 96
 #: Word parts whose ids a worker remembers, about 60 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Sequences, or small pieces, in one best-fit block.
 BLOCK = 20_000
 
