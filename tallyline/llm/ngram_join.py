@@ -27,8 +27,8 @@ DIMS, FANOUT = 128, 16
 BLOCK, LEADERS = 2000, 32
 #: Share of the distinct sets from which on a shingle is left out of signatures (never of sets).
 FREQUENT = 0.001
-#: Signatures, or shingles to count, that a task holds before it sends them.
-HELD = 500_000
+#: Signatures that a task holds before it sends them, and shingles that it holds to count.
+HELD, COUNTED = 500_000, 1_500_000
 #: Largest number of rows (ids and hashes) that is broadcast.
 BROADCAST_ROWS = 300_000
 
@@ -301,7 +301,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 held.append(sh[np.repeat(one, np.diff(begin))])
                 size += len(held[-1])
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(begin)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.nulls(len(c1), pair)], names)
-                if size >= HELD:
+                if size >= COUNTED:
                     yield often()
                     held, size, seen = [], 0, set()
         if size:
