@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-SKIP = ("stream_ingest_equiv",)
+SKIP = ("stream_ingest_equiv", "stream_fee_window")
 
 
 def main() -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..plans.errors import NotFound
 from ..plans.requests import check_hash
@@ -14,15 +14,15 @@ def projected(txs: DataFrame) -> DataFrame:
     return txs.select(*FIELDS, F.when(F.col("successful"), "SUCCESS").otherwise("FAILED").alias("status"))
 
 
-def by_hash(spark: SparkSession, txs: DataFrame, ledger_range: DataFrame, tx_hash: str) -> DataFrame:
+def by_hash(txs: DataFrame, ledger_range: DataFrame, tx_hash: str) -> DataFrame:
     """One row: the transaction or NOT_FOUND, with the store's range on it either way.
 
-    The request is a one-row frame and drives an outer join; the hash is also a plain
+    The row of the range carries the request and drives an outer join; the hash is also a plain
     filter, so the scan prunes by footer and Bloom filter.
     """
     h = check_hash(tx_hash)
     hit = projected(txs.filter(F.col("hash") == h)).limit(1)
-    asked = spark.range(1).select(F.lit(h).alias("asked")).crossJoin(ledger_range)
+    asked = ledger_range.withColumn("asked", F.lit(h))
     return asked.join(hit, asked["asked"] == hit["hash"], "left").select(
         F.col("asked").alias("tx_hash"), F.coalesce("status", F.lit("NOT_FOUND")).alias("status"), "ledger_seq", "application_order", "close_time", "first_seq", "last_seq"
     )

@@ -259,12 +259,12 @@ def _tx_range(spark, d) -> DataFrame:
 
 @query(_by_hash_sql(_HIT))
 def tx_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    return tx.by_hash(spark, v.transactions(spark, d), _tx_range(spark, d), _HIT)
+    return tx.by_hash(v.transactions(spark, d), _tx_range(spark, d), _HIT)
 
 
 @query(_by_hash_sql(_MISS))
 def tx_by_hash_miss(spark: SparkSession, d: str) -> DataFrame:
-    return tx.by_hash(spark, v.transactions(spark, d), _tx_range(spark, d), _MISS)
+    return tx.by_hash(v.transactions(spark, d), _tx_range(spark, d), _MISS)
 
 
 @query(_tx_sql(f"SELECT * FROM (SELECT {_TX} FROM tx WHERE ledger_seq >= 500 ORDER BY pos LIMIT 50)"))
@@ -314,8 +314,8 @@ _PICKS = ", ".join(f"s[(({p} * len(s) + 99) // 100)] AS p{p}" for p in fees.PERC
 _LATEST = 2000
 
 
-def _dist_sql(kind: str, window: int) -> str:
-    span = f"ledger_seq BETWEEN {_LATEST - window + 1} AND {_LATEST}"
+def _dist_sql(kind: str, window: int, latest: int | str = _LATEST) -> str:
+    span = f"ledger_seq BETWEEN {latest} - {window - 1} AND {latest}"
     cols = ["max", "min", "mode", *[f"p{p}" for p in fees.PERCENTS], "fee_count"]
     return _tx_sql(f""", {_FEES}, w AS (SELECT fee FROM f WHERE kind = '{kind}' AND {span}),
 m AS (SELECT fee AS mode FROM w GROUP BY fee ORDER BY count(*) DESC, fee LIMIT 1), a AS (SELECT list_sort(list(fee)) AS s FROM w),
@@ -413,6 +413,18 @@ def stream_ingest_equiv(spark: SparkSession, d: str) -> DataFrame:
     return ingest.published(spark, f"{base}/store").select(EV_COLS)
 
 
+@query(_dist_sql("classic", 10, "(SELECT max(ledger_seq) FROM raw_tx WHERE ledger_seq BETWEEN 1980 AND 2000)"))
+def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
+    """Transactions streamed in, one file a batch, and the fee distribution as of the last published ledger."""
+    base = _scratch(spark)
+    src = v.transactions(spark, d, 1980, 2000)
+    for a, b in ((1980, 1989), (1990, 2000)):
+        src.filter(F.col("ledger_seq").between(a, b)).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    ingest.run_available(stream, f"{base}/store", f"{base}/checkpoint", order=("pos",), contiguous=False)
+    return ingest.current_fees(spark, f"{base}/store", "classic", rq.CLASSIC_WINDOW)
+
+
 def _scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid

@@ -225,6 +225,23 @@ def test_ingest_is_ordered_and_idempotent(spark, tmp_path):
     assert ingest.trimmed(spark, str(tmp_path / "store"), 2).count() == 4
 
 
+def test_fees_follow_what_is_published(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(NotFound):
+        ingest.current_fees(spark, path, "classic", 2)
+    rows = [(f"{s}-{t}", s, s * 10 + t, 2, s * 200, 0) for s in range(2, 320) for t in (1, 2)]
+    df = spark.createDataFrame(rows, "hash string, ledger_seq bigint, pos bigint, n_ops bigint, fee_charged bigint, resource_fee bigint")
+    run = ingest.ingest_batch(path, order=("pos",))
+    run(df.filter("ledger_seq <= 310"), 0)
+    ingest.lake.write(df.filter("ledger_seq > 310").withColumn("batch_id", F.lit(1)), f"{path}/rows", "ledger_seq", ["pos"])  # died before publishing
+    row = ingest.current_fees(spark, path, "classic", 3).first()
+    assert (row["min"], row["max"], row["fee_count"], row["ledger_count"]) == (30800, 31000, 6, 3)
+    run(df, 1)
+    assert ingest.current_fees(spark, path, "classic", 3).first()["max"] == 31900
+    plan = ingest.published(spark, path, key="hash", first=310)._jdf.queryExecution().executedPlan().toString()
+    assert "ledger_bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     events(spark, [(s, 1, s % 5, 1, ["a", str(s)]) for s in range(300)]).write.parquet(str(tmp_path / "e"))
     df = ev.matching(spark.read.parquet(str(tmp_path / "e")), [EventFilter(contracts=(1,)), EventFilter(topics=(("a", "7"),))])
