@@ -27,6 +27,8 @@ DIMS, FANOUT = 128, 16
 BLOCK, LEADERS = 2000, 32
 #: Share of the distinct sets from which on a shingle is left out of signatures (never of sets).
 FREQUENT = 0.001
+#: Sets of a run of equal signatures up to which all pairs are counted; what a pair of a longer run counts for.
+RUN, ENOUGH = 8, 1 << 20
 #: Signatures that a task holds before it sends them, and shingles that it holds to count.
 HELD, COUNTED = 500_000, 1_500_000
 #: Largest number of rows (ids and hashes) that is broadcast.
@@ -100,64 +102,92 @@ def _level_groups(bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, n
     return far, far + 1 + spare
 
 
-def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row): linked sets that differ share one.
+def _contents(sh: np.ndarray, row: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of d[r] groups of each row: a hash of the content, and whether the group is empty."""
+    base, total = np.cumsum(d) - d, int(d.sum())
+    m = d[row] > 0
+    sh, row = sh[m], row[m]
+    slot = base[row] + ((sh * _C1 >> np.uint64(32)) * d[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    content = mix(sh ^ _C2)
+    lo = np.bincount(slot, (content & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
+    hi = np.bincount(slot, (content >> np.uint64(32)).astype(float), total).astype(np.uint64)
+    return lo ^ mix(hi + _C1), np.bincount(slot, minlength=total) == 0
+
+
+def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row, terms): linked sets that differ share as many as their terms say.
 
     A set of class c signs at levels c and c - 1; level l holds the pairs whose smaller
     set is of class l. A signature is the content of one group without frequent
     shingles (leaving the same shingles out of both sets adds no difference). Of d
-    groups, linked sets agree in d - far at least. A set with fewer empty groups than
-    that signs by the others alone; else it signs by its empty groups too, which then
-    meet those of other such sets.
+    groups, linked sets agree in d - far at least, so in d - far - (empty groups of
+    either) that are not empty: what a set asks of a partner. A set that would ask for
+    none consists of frequent shingles for the most part; it asks for nothing there, and
+    signs by the whole content of its groups too, which meets other such sets alone.
+    Only if even so it asks for none, it signs by its empty groups as well. Terms hold
+    what is asked for (63 at most), whole content or not, and the level's last bit.
     """
     n = np.diff(begin)
     row = np.repeat(np.arange(len(n)), n)
     bounds = size_levels(num, den, int(n.max(initial=1)) + 1)
     far, groups = _level_groups(bounds, num, den)
+    rare = np.ones(len(sh), bool)
     if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)
-        rare = frequent[at] != sh
-        sh, row = sh[rare], row[rare]
-    content = mix(sh ^ _C2)
-    low, high = (content & np.uint64(0xFFFFFFFF)).astype(float), (content >> np.uint64(32)).astype(float)
-    where = sh * _C1 >> np.uint64(32)
+        rare = frequent[np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)] != sh
     cls = np.searchsorted(bounds, n, "right") - 1
-    sigs, rows = [], []
+    sigs, rows, terms = [], [], []
     for down in (0, 1):
         level = cls - down
-        ok = (n > 0) & (level >= 0)
-        ok[ok] &= far[level[ok]] > 0
         lv = np.maximum(level, 0)
-        d = np.where(ok, groups[lv], 0)
-        base = np.cumsum(d) - d
-        total = int(d.sum())
-        m = ok[row]
-        slot = base[row[m]] + (where[m] * d[row[m]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        lo = np.bincount(slot, low[m], total).astype(np.uint64)
-        hi = np.bincount(slot, high[m], total).astype(np.uint64)
-        empty = np.bincount(slot, minlength=total) == 0
-        own = np.repeat(np.arange(len(n)), d)
-        group = np.arange(total) - np.repeat(base, d)
-        c = np.zeros(total + 1, np.int64)
-        np.cumsum(empty, out=c[1:])
-        unsafe = ok & (c[base + d] - c[base] >= d - far[lv])
-        use = ~empty | unsafe[own]
-        key = mix(lo ^ mix(hi + _C1)) ^ mix(lv[own].astype(np.uint64) * _C2 + group.astype(np.uint64) * _C1 + np.uint64(7))
-        sigs.append(mix(key[use]))
-        rows.append(own[use])
-    return np.concatenate(sigs), np.concatenate(rows)
-
-
-def _pairs_of_runs(sig: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within each run of equal signatures, the smallest ref with every other."""
+        d = np.where((n > 0) & (level >= 0) & (far[lv] > 0), groups[lv], 0)
+        for whole in (0, 1):
+            own = np.repeat(np.arange(len(n)), d)
+            group = np.arange(len(own)) - np.repeat(np.cumsum(d) - d, d)
+            content, empty = _contents(sh, row, d) if whole else _contents(sh[rare], row[rare], d)
+            asked = d - far[lv] - np.bincount(own[empty], minlength=len(n))
+            use = ~empty | (asked < 1)[own] if whole else ~empty
+            own, group = own[use], group[use]
+            key = content[use] ^ mix(lv[own].astype(np.uint64) * _C2 + group.astype(np.uint64) * _C1 + np.uint64(7 + whole))
+            sigs.append(mix(key))
+            rows.append(own)
+            terms.append((np.clip(asked, whole, 63) * 4 + whole * 2 + (lv & 1)).astype(np.uint8)[own])
+            d = np.where(asked < 1, d, 0)
+    return np.concatenate(sigs), np.concatenate(rows), np.concatenate(terms)
+
+
+def _pairs_of_runs(sig: np.ndarray, ref: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, kind, shared, asked) of the sets that meet in runs of equal signatures.
+
+    In a run of RUN sets at most each meets each; in a longer one the smallest meets
+    every other, and such a pair counts as sharing enough, since it stands for others.
+    """
     o = np.lexsort((ref, sig))
-    sig, ref = sig[o], ref[o]
+    sig, ref, terms = sig[o], ref[o], terms[o]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (ref[1:] != ref[:-1])
+    sig, ref, terms = sig[new], ref[new], terms[new]
     start = np.ones(len(sig), bool)
     start[1:] = sig[1:] != sig[:-1]
-    lead = ref[np.maximum.accumulate(np.where(start, np.arange(len(sig)), 0))]
-    m = lead != ref
-    both = np.unique(np.stack([lead[m], ref[m]], 1), axis=0) if m.any() else np.zeros((0, 2), ref.dtype)
-    return both[:, 0], both[:, 1]
+    run = np.cumsum(start) - 1
+    size = np.bincount(run)[run] if len(run) else run
+    first = np.flatnonzero(start)[run] if len(run) else run
+    long = np.flatnonzero((size > RUN) & ~start)
+    left, right = [first[long]], [long]
+    for j in range(1, RUN):
+        at = np.flatnonzero((size[:-j] <= RUN) & (run[:-j] == run[j:])) if len(run) > j else np.zeros(0, np.int64)
+        left.append(at)
+        right.append(at + j)
+    x, y = np.concatenate(left), np.concatenate(right)
+    a, b, kind, asked = ref[x], ref[y], terms[x] & 3, np.maximum(terms[x], terms[y]) >> 2
+    enough = np.arange(len(x)) < len(long)
+    m = enough | (asked > 0)  # two sets that ask for nothing meet by whole content
+    a, b, kind, asked, shared = a[m], b[m], kind[m], asked[m].astype(np.int64), np.where(enough[m], ENOUGH, 1)
+    if not len(a):
+        return a, b, kind, shared, asked
+    o = np.lexsort((kind, b, a))
+    a, b, kind, asked, shared = a[o], b[o], kind[o], asked[o], shared[o]
+    cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])))
+    return a[cut], b[cut], kind[cut], np.add.reduceat(shared, cut), np.maximum.reduceat(asked, cut)
 
 
 # ---- the R-tree join of one task ------------------------------------------------------
@@ -317,17 +347,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = 4 * shuffle_partitions(spark)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_s, held_r, size = [], [], 0
+        held_s, held_r, held_t, size = [], [], [], 0
 
         def flush():
-            sig, ref = np.concatenate(held_s), np.concatenate(held_r)
+            sig, ref, terms = np.concatenate(held_s), np.concatenate(held_r), np.concatenate(held_t)
             part = (sig >> np.uint64(40)) % np.uint64(parts)
             o = np.argsort(part, kind="stable")
-            part, sig, ref = part[o].astype(np.int64), sig[o], ref[o]
+            part, sig, ref, terms = part[o].astype(np.int64), sig[o], ref[o], terms[o]
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
             ends = np.append(cut[1:], len(part))
-            blobs = [(sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), ref[a:b].tobytes()) for a, b in zip(cut, ends)]
-            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), pa.array([x for x, _ in blobs], pa.binary()), pa.array([y for _, y in blobs], pa.binary())], ["part", "sig", "ref"])
+            blobs = [(sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), ref[a:b].tobytes(), terms[a:b].tobytes()) for a, b in zip(cut, ends)]
+            columns = [pa.array(c, pa.binary()) for c in (zip(*blobs) if blobs else ([], [], []))]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *columns], ["part", "sig", "ref", "terms"])
 
         for batch in batches:
             for part in slices(batch):
@@ -340,13 +371,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     n = np.diff(begin)
                     sh, c1 = sh[np.repeat(keep, n)], c1[keep]
                     begin = np.append(0, np.cumsum(n[keep]))
-                sig, row = signatures(sh, begin, num, den, frequent)
+                sig, row, terms = signatures(sh, begin, num, den, frequent)
                 held_s.append(sig)
                 held_r.append(c1[row])
+                held_t.append(terms)
                 size += len(sig)
                 if size >= HELD:
                     yield flush()
-                    held_s, held_r, size = [], [], 0
+                    held_s, held_r, held_t, size = [], [], [], 0
         if size:
             yield flush()
 
@@ -355,10 +387,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         sig = np.zeros((len(five), 8), np.uint8)
         sig[:, :5] = five
         ref = np.frombuffer(b"".join(pdf["ref"]), np.int64)
-        a, b = _pairs_of_runs(sig.view(np.uint64).ravel(), ref)
-        return pd.DataFrame({"a": a, "b": b})
+        terms = np.frombuffer(b"".join(pdf["terms"]), np.uint8)
+        return pd.DataFrame(dict(zip(("a", "b", "kind", "shared", "asked"), _pairs_of_runs(sig.view(np.uint64).ravel(), ref, terms))))
 
-    near = src.mapInArrow(sign, "part int, sig binary, ref binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint")
+    met = src.mapInArrow(sign, "part int, sig binary, ref binary, terms binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint, kind int, shared bigint, asked bigint")
+    near = met.groupBy("a", "b", "kind").agg(F.sum("shared").alias("shared"), F.max("asked").alias("asked")).filter("shared >= asked").select("a", "b")
     groups = components(near)
     links = _verify(src, classes, groups, k, num, den)
     found = components(links)

@@ -178,8 +178,18 @@ def test_signatures_meet_for_every_linked_pair():
                 if not ngram_join._linked(a, b, num, 100):
                     continue
                 few = np.sort(a[rnd.random(len(a)) < rnd.random()])
-                sig, row = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100, few)
-                assert np.array_equal(a, b) or set(sig[row == 0]) & set(sig[row == 1])
+                sig, row, terms = ngram_join.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, 100, few)
+                *_, shared, asked = ngram_join._pairs_of_runs(sig, row, terms)
+                assert np.array_equal(a, b) or (shared >= asked).any()
+
+
+def test_runs_of_any_length_connect_their_sets():
+    sig = np.repeat(np.array([3, 9, 5], np.uint64), (2, ngram_join.RUN, ngram_join.RUN + 5))
+    ref = np.concatenate([[4, 4], np.arange(ngram_join.RUN), 100 + np.arange(ngram_join.RUN + 5)])
+    a, b, _, shared, asked = ngram_join._pairs_of_runs(sig, ref, np.full(len(sig), 2 << 2, np.uint8))
+    short = b < 100
+    assert short.sum() == ngram_join.RUN * (ngram_join.RUN - 1) // 2 and (shared[short] == 1).all() and (asked == 2).all()
+    assert set(a[~short]) == {100} and (shared[~short] == ngram_join.ENOUGH).all() and (~short).sum() == ngram_join.RUN + 4
 
 
 def test_components_of_a_path(spark):
