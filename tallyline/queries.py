@@ -141,13 +141,26 @@ k AS (SELECT *, ledger_seq * 4294967296 + CASE WHEN stage = 'before_all' THEN 0
 n AS (SELECT *, row_number() OVER (PARTITION BY ledger_seq, pos ORDER BY tx_index, ord) - 1 AS event_index FROM k)"""
 
 
-@query(f"WITH {v.EVENTS_SQL}, {_STAGES} SELECT ledger_seq, tx_index, coalesce(stage, 'op') AS stage, event_index, lpad(pos::VARCHAR, 19, '0') || '-' || lpad(event_index::VARCHAR, 10, '0') AS id FROM n")
-def ev_stage_order(spark: SparkSession, d: str) -> DataFrame:
-    e = v.events(spark, d, None, 60).select("ledger_seq", "tx_index", "op_index", F.col("raw_id").alias("ord"))
+_STAGED = "SELECT ledger_seq, tx_index, coalesce(stage, 'op') AS stage, event_index, lpad(pos::VARCHAR, 19, '0') || '-' || lpad(event_index::VARCHAR, 10, '0') AS id FROM n"
+
+
+def _staged(e: DataFrame) -> DataFrame:
+    e = e.select("ledger_seq", "tx_index", "op_index", F.col("raw_id").alias("ord"))
     four = e.withColumn("stage", F.explode(F.array(F.lit(None).cast("string"), F.lit("before_all"), F.lit("after_tx"), F.lit("after_all"))))
     return ev.staged_ids(four).select("ledger_seq", "tx_index", F.coalesce("stage", F.lit("op")).alias("stage"), "event_index", "id")
 
 
+@query(f"WITH {v.EVENTS_SQL}, {_STAGES} SELECT ledger_seq, tx_index, coalesce(stage, 'op') AS stage, event_index, lpad(pos::VARCHAR, 19, '0') || '-' || lpad(event_index::VARCHAR, 10, '0') AS id FROM n")
+def ev_stage_order(spark: SparkSession, d: str) -> DataFrame:
+    return _staged(v.events(spark, d, None, 60))
+
+
+@query(f"WITH {v.EVENTS_SQL}, {_STAGES.replace(' WHERE ledger_seq <= 60', '')} {_STAGED}")
+def ev_stage_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ev_stage_order, whose SQL ends at ledger 60, over all events."""
+    return _staged(v.events(spark, d))
+
+
 @query(f"WITH {v.EVENTS_SQL} SELECT id, ledger_seq AS ledger, tx_index AS tx, 0::BIGINT AS op, pos::BIGINT AS pos FROM ev")
 def cursor_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     pos = F.substring("id", 1, 19).cast("bigint")
