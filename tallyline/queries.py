@@ -135,6 +135,18 @@ def ev_projection_json(spark: SparkSession, d: str) -> DataFrame:
     return ev.info(v.events(spark, d, 30, 90), json=True)
 
 
+@query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, coalesce(base64(encode(topic1)), '') || ',' || coalesce(base64(encode(topic2)), '') AS topics, base64(encode(data)) AS data"))
+def ev_projection_b64_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ev_projection_b64, whose SQL takes ledgers 30 to 90, over all events."""
+    return ev.info(v.events(spark, d))
+
+
+@query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, to_json([topic1, topic2])::VARCHAR AS topics, data"))
+def ev_projection_json_all(spark: SparkSession, d: str) -> DataFrame:
+    """As ev_projection_json, whose SQL takes ledgers 30 to 90, over all events."""
+    return ev.info(v.events(spark, d), json=True)
+
+
 _STAGES = """u AS (SELECT ledger_seq, tx_index, 0 AS op_index, event_id AS ord, s.stage FROM num_ev, (VALUES (NULL), ('before_all'), ('after_tx'), ('after_all')) s(stage) WHERE ledger_seq <= 60),
 k AS (SELECT *, ledger_seq * 4294967296 + CASE WHEN stage = 'before_all' THEN 0 WHEN stage = 'after_all' THEN 1048575 ELSE tx_index END * 4096
   + CASE WHEN stage = 'after_tx' THEN 4095 ELSE 0 END AS pos FROM u),
