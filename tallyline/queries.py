@@ -294,13 +294,13 @@ def tx_by_hash_miss(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_tx_sql(f"SELECT * FROM (SELECT {_TX} FROM tx WHERE ledger_seq >= 500 ORDER BY pos LIMIT 50)"))
 def tx_page(spark: SparkSession, d: str) -> DataFrame:
-    return tx.page(v.transactions(spark, d, 500, 600), C.Cursor(500, 1, 1).pos(), rq.limit_of(None, rq.TX_LIMITS))
+    return tx.page(v.transactions(spark, d, 500), C.Cursor(500, 1, 1).pos(), rq.limit_of(None, rq.TX_LIMITS))
 
 
 @query(_tx_sql(f"SELECT * FROM (SELECT {_TX} FROM tx WHERE pos >= {C.Cursor(510, 3, 0).pos()} ORDER BY pos LIMIT 120)"))
 def tx_page_cursor(spark: SparkSession, d: str) -> DataFrame:
     start = rq.tx_start(rq.LedgerRange(2, 10**6), cursor=str(C.Cursor(510, 2, 1).pos()))
-    return tx.page(v.transactions(spark, d, 510, 700), start, rq.limit_of(120, rq.TX_LIMITS))
+    return tx.page(v.transactions(spark, d, 510), start, rq.limit_of(120, rq.TX_LIMITS))
 
 
 @query(_tx_sql("SELECT ledger_seq, count(*) AS tx_count FROM raw_tx GROUP BY 1"))
