@@ -309,11 +309,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     small_batches(spark)
     k = words_a_shingle
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())]))
-        names = ["id", "n", "c1", "c2", "often"]
+        names = ["id", "th", "n", "c1", "c2", "often"]
         held, size, seen = [], 0, set()
 
         def often() -> pa.RecordBatch:
@@ -321,7 +321,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             m = c >= max(4, len(seen) * FREQUENT)
             found = [{"h": a, "c": b} for a, b in zip(h[m].view(np.int64).tolist(), c[m].tolist())]
             null = pa.nulls(1, pa.int64())
-            return pa.RecordBatch.from_arrays([null, null, null, null, pa.array([found], pair)], names)
+            return pa.RecordBatch.from_arrays([null, null, null, null, null, pa.array([found], pair)], names)
 
         for batch in batches:
             for part in slices(batch):
@@ -330,16 +330,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 one = np.array([c not in seen and not seen.add(c) for c in c1.tolist()], bool)
                 held.append(sh[np.repeat(one, np.diff(begin))])
                 size += len(held[-1])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(begin)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.nulls(len(c1), pair)], names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(np.diff(begin)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.nulls(len(c1), pair)], names)
                 if size >= COUNTED:
                     yield often()
                     held, size, seen = [], 0, set()
         if size:
             yield often()
 
-    base = stage(src.mapInArrow(name, "id bigint, n bigint, c1 bigint, c2 bigint, often array<struct<h: bigint, c: bigint>>"), "sets")
+    base = stage(src.mapInArrow(name, "id bigint, th bigint, n bigint, c1 bigint, c2 bigint, often array<struct<h: bigint, c: bigint>>"), "sets")
     texts = base.filter("often is null")
-    classes = stage(texts.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    # one row of each class stands for it, of an id if it can; sid numbers the classes for good, as they are stored
+    row = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("row")
+    classes = texts.filter("n > 0").groupBy("c1", "c2", "n").agg(row, F.count(F.lit(1)).alias("rows"))
+    classes = stage(classes.select("c1", "c2", "n", F.col("row.id").alias("rep"), F.col("row.th").alias("th"), "rows", F.monotonically_increasing_id().alias("sid")), "classes")
     n_classes = classes.count()
     often = base.filter("often is not null").select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("c"))
     often = often.filter(F.col("c") >= max(4, int(n_classes * FREQUENT))).orderBy(F.col("c").desc(), "h").limit(100_000).select("h").toPandas()["h"]
@@ -395,21 +398,25 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = components(near)
     links = _verify(src, classes, groups, k, num, den)
     found = components(links)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("c1", "c2", F.col("rep"), F.coalesce("component", "rep").alias("component"), "rows")
-    named = stage(named.filter("rows > 1 or component <> rep").drop("rows", "rep"), "named")
+    linked = classes.join(found, classes["sid"] == found["node"]).select("sid", "rep", F.col("component").alias("comp"))
+    linked = stage(linked, "linked")
+    least = stage(linked.groupBy("comp").agg(F.min("rep").alias("component")), "least")
+    linked = linked.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "comp").select(F.col("sid").alias("node"), "component")
+    named = classes.join(linked, classes["sid"] == linked["node"], "left").select("c1", "c2", F.col("rep"), F.coalesce("component", "rep").alias("component"), "rows")
+    named = stage(named.filter("rows > 1 or not component <=> rep").drop("rows", "rep"), "named")
     out = texts.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")).alias("component_id"))
 
 
 def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between representatives that connect every linked pair of a cluster."""
-    member = classes.filter("rep is not null").join(groups, classes["c1"] == groups["node"]).select("rep", "c1", "c2", F.col("component").alias("cluster"))
+    """Links (a, b) between the sids of classes that connect every linked pair of a cluster."""
+    member = classes.join(groups, classes["c1"] == groups["node"]).select("sid", "rep", "th", "c1", "c2", F.col("component").alias("cluster"))
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     member = stage(member.join(sizes, "cluster").filter("m > 1"), "members")
     n = member.count()
-    wanted = member.select(F.col("rep").alias("id"), "c1", "c2", "cluster", "m")
+    wanted = member.select("sid", F.col("rep"), F.col("th").alias("of"), "c1", "c2", "cluster", "m")
     wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    texts = src.join(wanted, "id")
+    texts = src.join(wanted, (src["th"] == wanted["of"]) & src["id"].eqNullSafe(wanted["rep"]))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,32 +425,32 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
                 c1, c2 = set_keys(sh, begin)
                 same = (c1.view(np.int64) == part.column("c1").to_numpy()) & (c2.view(np.int64) == part.column("c2").to_numpy())
                 blobs = pa.array([sh[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())
-                out = pa.RecordBatch.from_arrays([part.column("id"), part.column("cluster"), part.column("m"), blobs], ["rep", "cluster", "m", "hashes"])
+                out = pa.RecordBatch.from_arrays([part.column("sid"), part.column("cluster"), part.column("m"), blobs], ["sid", "cluster", "m", "hashes"])
                 yield out.filter(pa.array(same))
 
-    sets = texts.select("id", "text", "c1", "c2", "cluster", "m").mapInArrow(sets_of, "rep bigint, cluster bigint, m bigint, hashes binary")
-    sets = stage(sets.groupBy("rep").agg(F.first("cluster").alias("cluster"), F.first("m").alias("m"), F.first("hashes").alias("hashes")), "hashes")
+    sets = texts.select("sid", "text", "c1", "c2", "cluster", "m").mapInArrow(sets_of, "sid bigint, cluster bigint, m bigint, hashes binary")
+    sets = stage(sets.groupBy("sid").agg(F.first("cluster").alias("cluster"), F.first("m").alias("m"), F.first("hashes").alias("hashes")), "hashes")
 
     def unpack(pdf: pd.DataFrame) -> list[np.ndarray]:
         return [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
 
-    def edges(reps: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
+    def edges(sids: np.ndarray, links: list[tuple[int, int]]) -> pd.DataFrame:
         ab = np.array(links, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": reps[ab[:, 0]], "b": reps[ab[:, 1]]})
+        return pd.DataFrame({"a": sids[ab[:, 0]], "b": sids[ab[:, 1]]})
 
     def join_all(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        pdf = pdf.drop_duplicates(["cluster", "rep"]).sort_values(["cluster", "rep"], ignore_index=True)
+        pdf = pdf.drop_duplicates(["cluster", "sid"]).sort_values(["cluster", "sid"], ignore_index=True)
         for _, one in pdf.groupby("cluster", sort=True):
-            reps = one["rep"].to_numpy()
-            out.append(edges(reps, tree_join(unpack(one), np.arange(len(one)), num, den)))
+            sids = one["sid"].to_numpy()
+            out.append(edges(sids, tree_join(unpack(one), np.arange(len(one)), num, den)))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
 
     def join_two(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rep", "side"], ignore_index=True)
-        reps, side = pdf["rep"].to_numpy(), pdf["side"].to_numpy()
+        pdf = pdf.sort_values(["sid", "side"], ignore_index=True)
+        sids, side = pdf["sid"].to_numpy(), pdf["side"].to_numpy()
         _, label = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
-        return edges(reps, tree_join(unpack(pdf), label, num, den, None if (side == side[0]).all() else side))
+        return edges(sids, tree_join(unpack(pdf), label, num, den, None if (side == side[0]).all() else side))
 
     ab = "a bigint, b bigint"
     buckets = max(1, -(-n // (BLOCK // 2)))
@@ -454,16 +461,16 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
         return links
 
     # blocks of a large cluster, each with the same few leaders
-    order = F.xxhash64("rep", F.lit(5))
+    order = F.xxhash64("sid", F.lit(5))
     n_blk = F.ceil(F.col("m") / BLOCK).cast("int")
     blocked = large.withColumn("blk", F.pmod(order, n_blk).cast("int"))
     heads = _leaders(large, order)
     heads = heads.withColumn("blk", F.explode(F.sequence(F.lit(0), n_blk - 1)))
-    cols = ["rep", "cluster", "m", "hashes", "blk"]
+    cols = ["sid", "cluster", "m", "hashes", "blk"]
     first = stage(blocked.select(*cols).unionByName(heads.select(*cols)).groupBy("cluster", "blk").applyInPandas(join_all, ab), "links")
     links = links.unionByName(first)
     known = components(first)
-    tagged = large.join(known, large["rep"] == known["node"], "left").select("rep", "cluster", "m", "hashes", F.coalesce("component", "rep").alias("comp"))
+    tagged = large.join(known, large["sid"] == known["node"], "left").select("sid", "cluster", "m", "hashes", F.coalesce("component", "sid").alias("comp"))
     comp_size = tagged.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("cm"))
     rest = comp_size.groupBy("cluster").agg(F.sum(F.when(F.col("cm") < BLOCK, F.col("cm")).otherwise(0)).alias("mixed"), F.count(F.lit(1)).alias("comps"))
     tagged = tagged.join(comp_size, ["cluster", "comp"]).join(rest, "cluster").filter("comps > 1")
@@ -473,16 +480,16 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
     blks = tagged.select("cluster", "own", "blk").distinct()
     other = blks.select("cluster", F.col("own").alias("own2"), F.col("blk").alias("blk2"))
     pairs = blks.join(other, "cluster").filter("blk <= blk2 and (own is null or own2 is null or own <> own2)").select("cluster", "blk", "blk2")
-    left = tagged.join(pairs, ["cluster", "blk"]).select("cluster", "blk", "blk2", "rep", "comp", "hashes", F.lit(0).alias("side"))
-    right = tagged.withColumnRenamed("blk", "blk2").join(pairs.filter("blk <> blk2"), ["cluster", "blk2"]).select("cluster", "blk", "blk2", "rep", "comp", "hashes", F.lit(1).alias("side"))
+    left = tagged.join(pairs, ["cluster", "blk"]).select("cluster", "blk", "blk2", "sid", "comp", "hashes", F.lit(0).alias("side"))
+    right = tagged.withColumnRenamed("blk", "blk2").join(pairs.filter("blk <> blk2"), ["cluster", "blk2"]).select("cluster", "blk", "blk2", "sid", "comp", "hashes", F.lit(1).alias("side"))
     return links.unionByName(left.unionByName(right).groupBy("cluster", "blk", "blk2").applyInPandas(join_two, ab))
 
 
 def _leaders(large: DataFrame, order) -> DataFrame:
     """The LEADERS sets of each cluster with the smallest hash; a map-side aggregate keeps as many a task."""
     top = F.sort_array(F.collect_list("o"))
-    few = large.select("cluster", "m", F.struct(F.pmod(order, F.lit(1 << 40)).alias("k"), "rep").alias("o"))
+    few = large.select("cluster", "m", F.struct(F.pmod(order, F.lit(1 << 40)).alias("k"), "sid").alias("o"))
     # about 8 * LEADERS of a cluster by hash, then the smallest of them
     few = few.filter(F.col("o.k") < (F.lit(8 * LEADERS) * float(1 << 40) / F.col("m")))
-    ids = few.groupBy("cluster").agg(F.slice(top, 1, LEADERS).alias("l")).select("cluster", F.explode("l.rep").alias("rep"))
-    return large.join(F.broadcast(ids.withColumnRenamed("cluster", "__c").withColumnRenamed("rep", "__r")), (F.col("rep") == F.col("__r")) & (F.col("cluster") == F.col("__c"))).drop("__c", "__r")
+    ids = few.groupBy("cluster").agg(F.slice(top, 1, LEADERS).alias("l")).select("cluster", F.explode("l.sid").alias("sid"))
+    return large.join(F.broadcast(ids.withColumnRenamed("cluster", "__c").withColumnRenamed("sid", "__r")), (F.col("sid") == F.col("__r")) & (F.col("cluster") == F.col("__c"))).drop("__c", "__r")
