@@ -167,8 +167,8 @@ def cube_mix(
         sure = out.filter("p = 0 or p = 1")
         done = sure if done is None else done.unionByName(sure)
         if level + 1 in blocks:
-            n_next = F.element_at(F.array(*[F.lit(int(b)) for b in blocks[level + 1]]), F.col("src") + 1) if len(totals) <= 500 else F.lit(max(blocks[level + 1]))
-            draw = out.filter("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64("id", "row_hash", F.lit(level)), n_next).cast("int"))
+            n_next = F.broadcast(spark.createDataFrame(list(enumerate(blocks[level + 1])), "src int, blocks int"))
+            draw = out.filter("p > 0 and p < 1").join(n_next, "src").withColumn("block", F.pmod(F.xxhash64("id", "row_hash", F.lit(level)), F.col("blocks")).cast("int")).drop("blocks")
     known_src = table.select("src", "source_size", "target", "base")
     copies = F.col("base") + F.col("p").cast("int")
     return done.join(F.broadcast(known_src), "src").select(
