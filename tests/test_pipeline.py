@@ -1,0 +1,44 @@
+"""Stages of the pipeline on null, repeated and empty rows, against plain Python."""
+
+from collections import Counter
+
+import corpus_pipeline as cp
+from tallyline.llm import cube_mix
+
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def words(a, b):
+    return " ".join(f"w{i}" for i in range(a, b))
+
+
+TEXTS = [(1, words(0, 60)), (2, words(2, 62)), (2, words(300, 340)), (3, words(100, 160)), (3, words(100, 160)), (4, None), (5, ""), (None, words(1, 61)), (None, None), (6, words(200, 260)), (7, words(101, 161))]
+ROWS = [(i, t, "en", "ab"[n % 2], len(t or "")) for n, (i, t) in enumerate(TEXTS)]
+
+
+def shingles(text):
+    w = (text or "").split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_copies_against_plain_python(spark):
+    sets, comp = [shingles(r[1]) for r in ROWS], list(range(len(ROWS)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                comp = [comp[i] if c == comp[j] else c for c in comp]
+    least = {c: min((r[0] for r, d in zip(ROWS, comp) if d == c and r[0] is not None), default=None) for c in comp}
+    gone = {r[0] for r, c in zip(ROWS, comp) if r[0] is not None and r[0] != least[c]}
+    got = cp.drop_near_copies(spark, spark.createDataFrame(ROWS, DOC), "")
+    assert gone == {2, 7}
+    assert Counter(map(tuple, got.collect())) == Counter(r for r in ROWS if r[0] not in gone)
+    assert cp.drop_near_copies(spark, spark.createDataFrame([], DOC), "").count() == 0
+
+
+def test_mix_takes_each_row_as_often_as_drawn(spark):
+    docs = spark.createDataFrame(ROWS, DOC)
+    drawn = Counter()
+    for r in cube_mix.cube_mix(docs).collect():
+        drawn[r["doc_id"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], len((r["text"] or "").split())) for r in cp.mix(spark, docs, "").collect())
+    assert got == +drawn and got[3, 60] > 0
