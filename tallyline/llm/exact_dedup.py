@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import ascii_lower, stage
+from ._spark import ascii_lower, keyed_join, stage, with_might_hold
 
 #: Largest number of repeated hashes (16 bytes each) that is broadcast.
 BROADCAST_ROWS = 500_000
@@ -19,29 +19,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept id are all kept. A null id never stays unless its whole group has none.
     Only columns id_col and text_col are read, so other columns may have any name.
 
-    Plan: count hashes (16 bytes a row, combined on the map side); send the texts of
-    repeated hashes alone through a byte-equal aggregate, which also collapses a hot
-    group before the shuffle; join the groups' sizes back. Both sides of that join are
-    plain exchanges, so a hot hash is split at run time.
+    Plan: texts are read and hashed once, and ids and digests (56 bytes a row) are staged.
+    Hashes that repeat are counted there, combined on the map side. A second reading
+    sends the texts that may be repeated alone (told by the hashes themselves while they
+    are few, by a bitmap of them beyond that) through a byte-equal aggregate, which also
+    collapses a hot group before the shuffle. The groups join back to ids and digests;
+    hot groups are broadcast, see keyed_join.
     """
     pick = F.max if largest else F.min
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("norm"))
-    hashed = base.select("id", "norm", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"))
-    dups = stage(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "dups")
-    texts = hashed
-    if dups.count() <= BROADCAST_ROWS:
-        texts = hashed.join(F.broadcast(dups), "h", "left_semi")
+    md5 = F.unhex(F.md5(F.col("norm").cast("binary")))
+    sha = F.unhex(F.sha2(F.col("norm").cast("binary"), 256))
+    base = docs.select(F.col(id_col).alias("id"), text.alias("norm")).select("id", "norm", md5.alias("h"))
+    rows = stage(base.select("id", "h", sha.alias("sha")), "digests")
+    dups = stage(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "dups")
+    n_dups = dups.count()
+    if n_dups <= BROADCAST_ROWS:
+        texts = base.join(F.broadcast(dups), "h", "left_semi")
+    else:
+        texts = with_might_hold(base, F.xxhash64("h"), dups.select(F.xxhash64("h").alias("k")), n_dups, "may").filter("may")
     equal = texts.groupBy("h", "norm").agg(pick("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     groups = (
         equal.filter("n > 1")
-        .groupBy("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
+        .groupBy("h", sha.alias("sha"))
         .agg(pick("keep").alias("keep"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
         .select("h", "sha", F.when(F.col("texts") == 1, F.col("keep")).otherwise(F.raise_error(F.lit("two texts share both digests"))).alias("keep"), "n")
     )
     groups = stage(groups, "groups")
-    rows = hashed.select("id", "h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
-    out = rows.join(groups, ["h", "sha"], "left")
+    out = keyed_join(rows, groups, ["h", "sha"], "n", rows.count())
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return out.select(
         F.col("id").alias(id_col),
