@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._spark import small_batches, stage
 from ._text import _C1, mix, raw, slices
@@ -20,6 +20,8 @@ MAX_TRAIN = 20_000
 #: An n-gram belongs to a language if it makes up this share of its n-grams and occurs this often.
 MIN_SHARE, MIN_COUNT = 1e-5, 3
 UNKNOWN = "und"
+#: 64-language words of the filter (8 MB each) that one pass over the texts looks at.
+WORDS_A_PASS = 4
 
 
 @dataclass
@@ -56,11 +58,14 @@ def _grams(cp: np.ndarray, n: int) -> np.ndarray:
     return mix(h + np.uint64(n))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, id_col: str = "doc_id", max_langs: int = 256) -> Filter:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, id_col: str = "doc_id") -> Filter:
     """Learn the filter from about max_train whole texts with a language, taken by hash.
 
     N-grams are counted per task, then summed by a shuffle; those with MIN_SHARE of a
-    language's n-grams stay, which bounds them by 1 / MIN_SHARE a language.
+    language's n-grams stay, which bounds them by 1 / MIN_SHARE a language. They come to
+    the driver for 64 languages at a time; there may be any number of languages. Rows
+    with a null text or language teach nothing; repeated rows count as often as they
+    stand, and all equal rows are taken or none.
     """
     small_batches(labelled.sparkSession)
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -89,16 +94,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max
 
     counts = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts.filter(F.col("n") >= MIN_COUNT), "grams")
-    totals = {r["lang"]: r["t"] for r in sample.groupBy("lang").agg(F.sum(F.length("text")).alias("t")).limit(max_langs + 1).collect()}
-    if len(totals) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    totals = {r["lang"]: r["t"] for r in sample.groupBy("lang").agg(F.sum(F.length("text")).alias("t")).collect()}
     langs = sorted(totals)
     slots = np.zeros(((len(langs) + 63) // 64 or 1, SLOTS), np.uint64)
-    for i, lang in enumerate(langs):
-        least = max(MIN_COUNT, int(totals[lang] * MIN_SHARE))
-        got = counts.filter((F.col("lang") == lang) & (F.col("n") >= least)).select("gram").toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
-        for at in _places(got):
-            np.bitwise_or.at(slots[i // 64], at, np.uint64(1 << (i % 64)))
+    for w in range(0, len(langs), 64):
+        few = {lang: max(MIN_COUNT, int(totals[lang] * MIN_SHARE)) for lang in langs[w : w + 64]}
+        enough = F.element_at(F.create_map(*[F.lit(x) for kv in few.items() for x in kv]), F.col("lang"))
+        got = counts.filter(F.col("lang").isin(*few)).filter(F.col("n") >= enough).select("lang", "gram").toPandas()
+        for lang, grams in got.groupby("lang")["gram"]:
+            for at in _places(grams.to_numpy(np.int64).view(np.uint64)):
+                np.bitwise_or.at(slots[w // 64], at, np.uint64(1 << (langs.index(lang) % 64)))
     filled = np.array([float(((slots[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))])
     return Filter(langs, slots, filled**HASHES)
 
@@ -114,16 +119,33 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
     One filter lookup gives the mask of all languages that may hold an n-gram; popcounts
     per language, less the false positives expected, decide (ties: first in code point
     order). score is the winner's share of its own and the runner-up's count. Null
-    texts, texts without a letter and an empty model give `und` and score 0. No shuffle;
-    the filter is SLOTS words a task whatever the data's size.
+    texts, texts without a letter and an empty model give `und` and score 0. A null id
+    stays null and a repeated row has its own output row. No shuffle; the filter is
+    SLOTS words a task whatever the data's size. Of more than 64 * WORDS_A_PASS
+    languages each further as many are one more pass over staged texts, so that a task
+    never holds more of the filter; the result is the same.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    state = "id bigint, text string, best string, top double, second double"
+    out = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.lit(UNKNOWN).alias("best"), F.lit(-1.0).alias("top"), F.lit(0.0).alias("second"))
+    for w in range(0, len(model.slots), WORDS_A_PASS):
+        langs = slice(64 * w, 64 * (w + WORDS_A_PASS))
+        last = w + WORDS_A_PASS >= len(model.slots)
+        one = _pass(docs.sparkSession, model.langs[langs], model.slots[w : w + WORDS_A_PASS], model.rate[langs], last)
+        out = out.mapInArrow(one, "id bigint, lang_pred string, score double" if last else state)
+        out = out if last else stage(out, "languages")
+    return out.withColumnRenamed("id", id_col)
+
+
+def _pass(spark: SparkSession, langs: list[str], slots: np.ndarray, rate: np.ndarray, last: bool):
+    """A function over batches of (id, text, best, top, second) that takes some languages into account."""
+    # plain arrays: what a broadcast holds is pickled by reference, and workers may lack this package
+    shared = spark.sparkContext.broadcast((langs, slots, rate))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter, m = _letters(), shared.value
-        names = np.array([*m.langs, UNKNOWN], object)
-        k = len(m.langs)
+        letter, (langs, slots, rate) = _letters(), shared.value
+        names = np.array([*langs, UNKNOWN], object)
+        k = len(langs)
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
                 cp, off, n_letters = _fold(part.column("text"), letter)
@@ -136,27 +158,28 @@ def identify(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: s
                     ok = np.arange(len(h)) < np.repeat(off[1:] - n + 1, np.diff(off))[: len(h)]
                     total += size
                     at = _places(h)
-                    for w in range(len(m.slots)):
-                        mask = m.slots[w][at[0]]
+                    for w in range(len(slots)):
+                        mask = slots[w][at[0]]
                         for a in at[1:]:
-                            mask = mask & m.slots[w][a]
+                            mask = mask & slots[w][a]
                         mask = np.where(ok, mask, np.uint64(0))
                         for bit in range(min(64, k - 64 * w)):
                             c = np.zeros(len(cp) + 1, np.int64)
                             np.cumsum((mask >> np.uint64(bit)) & np.uint64(1), out=c[1 : len(h) + 1])
                             c[len(h) + 1 :] = c[len(h)]
                             hits[64 * w + bit] += c[off[1:]] - c[off[:-1]]
+                best, top, second = (part.column(c).to_numpy(zero_copy_only=False) for c in ("best", "top", "second"))
                 if k:
-                    true = np.maximum((hits - total * m.rate[:, None]) / (1 - m.rate[:, None] + 1e-12), 0)
-                    best = true.argmax(0)
-                    order = np.sort(true, axis=0)
-                    top, second = order[-1], order[-2] if k > 1 else np.zeros(rows)
-                    score = np.where(top > 0, top / np.maximum(top + second, 1e-12), 0.0)
-                    score = np.where(n_letters > 0, score, 0.0)
-                    best = np.where((n_letters > 0), best, k)
+                    true = np.maximum((hits - total * rate[:, None]) / (1 - rate[:, None] + 1e-12), 0)
+                    best = np.where(true.max(0) > top, names[true.argmax(0)], best)
+                    order = np.sort(np.vstack([top, second, true]), axis=0)
+                    top, second = order[-1], order[-2]
+                if last:
+                    known = (n_letters > 0) & (top >= 0)
+                    score = np.where(known & (top > 0), top / np.maximum(top + second, 1e-12), 0.0)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.where(known, best, UNKNOWN), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
                 else:
-                    best, score = np.zeros(rows, np.int64), np.zeros(rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names[best], pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+                    cols = [pa.array(best, pa.string()), pa.array(top), pa.array(second)]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text"), *cols], ["id", "text", "best", "top", "second"])
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id bigint, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return run
