@@ -15,16 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ._spark import shuffle_partitions, small_batches, stage
+from ._spark import keyed_join, shuffle_partitions, small_batches, stage, with_might_hold
 from ._text import _C1, _C2, LOWER, mix, raw, slices, span_hash, windows, words
 from .components import components
 
 #: Dimensions of a count vector; children of a tree node.
 DIMS, FANOUT = 128, 16
-#: Sets joined by one task; leaders that tie the blocks of a larger cluster together.
-BLOCK, LEADERS = 2000, 32
+#: Sets, and shingles of sets (32 MB), joined at once; leaders that tie the blocks of a larger cluster together.
+BLOCK, BLOCK_SHINGLES, LEADERS = 2000, 4 << 20, 32
 #: Share of the distinct sets from which on a shingle is left out of signatures (never of sets).
 FREQUENT = 0.001
 #: Sets of a run of equal signatures up to which all pairs are counted; what a pair of a longer run counts for.
@@ -237,12 +237,6 @@ def tree_join(sets: list[np.ndarray], label: np.ndarray, num: int, den: int, sid
         return []
     size = np.array([len(s) for s in sets], np.int64)
     forest = Forest(label)
-    if n == 2:
-        pairs = [(0, 1)]
-        for a, b in pairs:
-            if (side is None or side[a] != side[b]) and label[a] != label[b] and _linked(sets[a], sets[b], num, den):
-                forest.union(a, b)
-        return forest.links
     points = _counts(sets)
     order, levels = _build(points, size)
     sorted_points, sorted_size = points[order], size[order]
@@ -301,10 +295,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Scale: each pass reads every whole text once (sets and their keys; signatures; the
     sets of candidates). Signatures travel packed, 13 bytes each, about
-    2.2 * (den - num) / num of the shingles. Candidate clusters above BLOCK sets become
-    blocks: each block is joined with itself and LEADERS common sets, and only blocks
-    that still hold different components meet pairwise. The result does not depend on
-    any of these numbers.
+    2.2 * (den - num) / num of the shingles. Candidate clusters above BLOCK sets or
+    BLOCK_SHINGLES shingles become blocks: each block is joined with itself and LEADERS
+    common sets, and only blocks that still hold different components meet pairwise. The
+    result does not depend on any of these numbers.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -400,23 +394,38 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = components(links)
     linked = classes.join(found, classes["sid"] == found["node"]).select("sid", "rep", F.col("component").alias("comp"))
     linked = stage(linked, "linked")
-    least = stage(linked.groupBy("comp").agg(F.min("rep").alias("component")), "least")
-    linked = linked.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "comp").select(F.col("sid").alias("node"), "component")
+    least = stage(linked.groupBy("comp").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("m")), "least")
+    linked = keyed_join(linked, least, ["comp"], "m", linked.count()).select(F.col("sid").alias("node"), "component")
     named = classes.join(linked, classes["sid"] == linked["node"], "left").select("c1", "c2", F.col("rep"), F.coalesce("component", "rep").alias("component"), "rows")
-    named = stage(named.filter("rows > 1 or not component <=> rep").drop("rows", "rep"), "named")
-    out = texts.select("id", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    named = stage(named.filter("rows > 1 or not component <=> rep").drop("rep"), "named")
+    n_rows = named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    some = texts.select("id", "n", "c1", "c2")
+    out = keyed_join(some.filter("n > 0"), named, ["c1", "c2"], "rows", n_rows).unionByName(some.filter("n = 0"), allowMissingColumns=True)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")).alias("component_id"))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _blocks(sets: str, shingles: str) -> Column:
+    """How many blocks of BLOCK sets and BLOCK_SHINGLES shingles hold so many."""
+    return F.ceil(F.greatest(F.col(sets) / BLOCK, F.col(shingles) / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+
+
 def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between the sids of classes that connect every linked pair of a cluster."""
-    member = classes.join(groups, classes["c1"] == groups["node"]).select("sid", "rep", "th", "c1", "c2", F.col("component").alias("cluster"))
-    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    member = stage(member.join(sizes, "cluster").filter("m > 1"), "members")
-    n = member.count()
-    wanted = member.select("sid", F.col("rep"), F.col("th").alias("of"), "c1", "c2", "cluster", "m")
-    wanted = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
-    texts = src.join(wanted, (src["th"] == wanted["of"]) & src["id"].eqNullSafe(wanted["rep"]))
+    member = classes.join(groups, classes["c1"] == groups["node"]).select("sid", "rep", "th", "c1", "c2", "n", F.col("component").alias("cluster"))
+    member = stage(member, "candidates")
+    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("cluster", "m", "s", _blocks("m", "s").alias("blocks"))
+    member = stage(keyed_join(member, sizes, ["cluster"], "m", member.count()).filter("m > 1"), "members")
+    n, s = member.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = member.select("sid", F.col("rep"), F.col("th").alias("of"), "c1", "c2", "cluster", "m", "s", "blocks")
+    if n <= BROADCAST_ROWS:
+        texts = src.join(F.broadcast(wanted), (src["th"] == wanted["of"]) & src["id"].eqNullSafe(wanted["rep"]))
+    else:  # only texts that may be wanted travel
+        told = with_might_hold(src, F.col("th"), wanted.select("of"), n, "may").filter("may")
+        texts = told.join(wanted, (told["th"] == wanted["of"]) & told["id"].eqNullSafe(wanted["rep"]))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,11 +434,12 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
                 c1, c2 = set_keys(sh, begin)
                 same = (c1.view(np.int64) == part.column("c1").to_numpy()) & (c2.view(np.int64) == part.column("c2").to_numpy())
                 blobs = pa.array([sh[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:])], pa.binary())
-                out = pa.RecordBatch.from_arrays([part.column("sid"), part.column("cluster"), part.column("m"), blobs], ["sid", "cluster", "m", "hashes"])
+                named = ["sid", "cluster", "m", "s", "blocks"]
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in named), blobs], [*named, "hashes"])
                 yield out.filter(pa.array(same))
 
-    sets = texts.select("sid", "text", "c1", "c2", "cluster", "m").mapInArrow(sets_of, "sid bigint, cluster bigint, m bigint, hashes binary")
-    sets = stage(sets.groupBy("sid").agg(F.first("cluster").alias("cluster"), F.first("m").alias("m"), F.first("hashes").alias("hashes")), "hashes")
+    sets = texts.select("sid", "text", "c1", "c2", "cluster", "m", "s", "blocks").mapInArrow(sets_of, "sid bigint, cluster bigint, m bigint, s bigint, blocks int, hashes binary")
+    sets = stage(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("cluster", "m", "s", "blocks", "hashes")]), "hashes")
 
     def unpack(pdf: pd.DataFrame) -> list[np.ndarray]:
         return [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
@@ -453,30 +463,34 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
         return edges(sids, tree_join(unpack(pdf), label, num, den, None if (side == side[0]).all() else side))
 
     ab = "a bigint, b bigint"
-    buckets = max(1, -(-n // (BLOCK // 2)))
-    small = sets.filter(F.col("m") <= BLOCK).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
+    # twice as many buckets as would do, since clusters fall into them by hash
+    buckets = max(1, -(-2 * n // BLOCK), -(-2 * s // BLOCK_SHINGLES))
+    small = sets.filter("blocks = 1").withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
     links = small.groupBy("bucket").applyInPandas(join_all, ab)
-    large = sets.filter(F.col("m") > BLOCK)
+    large = sets.filter("blocks > 1")
     if not large.limit(1).count():
         return links
 
     # blocks of a large cluster, each with the same few leaders
     order = F.xxhash64("sid", F.lit(5))
-    n_blk = F.ceil(F.col("m") / BLOCK).cast("int")
-    blocked = large.withColumn("blk", F.pmod(order, n_blk).cast("int"))
+    blocked = large.withColumn("blk", F.pmod(order, F.col("blocks")).cast("int"))
     heads = _leaders(large, order)
-    heads = heads.withColumn("blk", F.explode(F.sequence(F.lit(0), n_blk - 1)))
-    cols = ["sid", "cluster", "m", "hashes", "blk"]
+    heads = heads.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cols = ["sid", "cluster", "hashes", "blk"]
     first = stage(blocked.select(*cols).unionByName(heads.select(*cols)).groupBy("cluster", "blk").applyInPandas(join_all, ab), "links")
     links = links.unionByName(first)
     known = components(first)
-    tagged = large.join(known, large["sid"] == known["node"], "left").select("sid", "cluster", "m", "hashes", F.coalesce("component", "sid").alias("comp"))
-    comp_size = tagged.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("cm"))
-    rest = comp_size.groupBy("cluster").agg(F.sum(F.when(F.col("cm") < BLOCK, F.col("cm")).otherwise(0)).alias("mixed"), F.count(F.lit(1)).alias("comps"))
-    tagged = tagged.join(comp_size, ["cluster", "comp"]).join(rest, "cluster").filter("comps > 1")
-    pure = F.col("cm") >= BLOCK
-    number = F.when(pure, F.pmod(order, F.ceil(F.col("cm") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("mixed") / BLOCK)))
-    tagged = stage(tagged.withColumn("own", F.when(pure, F.col("comp"))).withColumn("num", number).withColumn("blk", F.xxhash64("own", "num")), "tagged")
+    tagged = large.join(known, large["sid"] == known["node"], "left").select("sid", "cluster", "hashes", F.coalesce("component", "sid").alias("comp"))
+    tagged = stage(tagged, "known")
+    n_large = tagged.count()
+    size = F.sum(F.length("hashes") / 8)
+    comp_size = tagged.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("cm"), size.alias("cs")).withColumn("cb", _blocks("cm", "cs"))
+    mixed = F.col("cb") == 1
+    rest = comp_size.groupBy("cluster").agg(F.sum(F.when(mixed, F.col("cm"))).alias("mm"), F.sum(F.when(mixed, F.col("cs"))).alias("ms"), F.count(F.lit(1)).alias("comps"), F.sum("cm").alias("all"))
+    rest = rest.select("cluster", "comps", "all", _blocks("mm", "ms").alias("mb"))
+    tagged = keyed_join(keyed_join(tagged, comp_size, ["cluster", "comp"], "cm", n_large), rest, ["cluster"], "all", n_large).filter("comps > 1")
+    number = F.when(mixed, F.pmod(F.xxhash64("comp"), F.col("mb"))).otherwise(F.pmod(order, F.col("cb")))
+    tagged = stage(tagged.withColumn("own", F.when(~mixed, F.col("comp"))).withColumn("num", number).withColumn("blk", F.xxhash64("own", "num")), "tagged")
     blks = tagged.select("cluster", "own", "blk").distinct()
     other = blks.select("cluster", F.col("own").alias("own2"), F.col("blk").alias("blk2"))
     pairs = blks.join(other, "cluster").filter("blk <= blk2 and (own is null or own2 is null or own <> own2)").select("cluster", "blk", "blk2")
@@ -486,10 +500,14 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
 
 
 def _leaders(large: DataFrame, order) -> DataFrame:
-    """The LEADERS sets of each cluster with the smallest hash; a map-side aggregate keeps as many a task."""
+    """The sets of each cluster with the smallest hash: LEADERS, or as many as a block holds if sets are long.
+
+    A map-side aggregate keeps about 8 * LEADERS of a cluster.
+    """
     top = F.sort_array(F.collect_list("o"))
-    few = large.select("cluster", "m", F.struct(F.pmod(order, F.lit(1 << 40)).alias("k"), "sid").alias("o"))
-    # about 8 * LEADERS of a cluster by hash, then the smallest of them
+    few = large.select("cluster", "m", "s", F.struct(F.pmod(order, F.lit(1 << 40)).alias("k"), "sid").alias("o"))
     few = few.filter(F.col("o.k") < (F.lit(8 * LEADERS) * float(1 << 40) / F.col("m")))
-    ids = few.groupBy("cluster").agg(F.slice(top, 1, LEADERS).alias("l")).select("cluster", F.explode("l.sid").alias("sid"))
-    return large.join(F.broadcast(ids.withColumnRenamed("cluster", "__c").withColumnRenamed("sid", "__r")), (F.col("sid") == F.col("__r")) & (F.col("cluster") == F.col("__c"))).drop("__c", "__r")
+    many = F.greatest(F.least(F.floor(F.first("m") * BLOCK_SHINGLES / F.first("s")), F.lit(LEADERS)), F.lit(1)).cast("int")
+    ids = few.groupBy("cluster").agg(F.slice(top, F.lit(1), many).alias("l"))
+    ids = stage(ids.select(F.col("cluster").alias("its_cluster"), F.explode("l.sid").alias("its_sid")), "leaders")
+    return large.join(_small(ids), (F.col("sid") == F.col("its_sid")) & (F.col("cluster") == F.col("its_cluster"))).drop("its_cluster", "its_sid")
