@@ -219,24 +219,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     About max_train labels at most, by a hash of the id, are broadcast to the documents;
     their features, never texts, come to the driver. Repeated documents or labels of an
-    id count as often as they pair, up to twice max_train rows.
+    id count as often as they pair; of more than twice max_train rows the first by a hash
+    stay, so reruns agree. Null labels and ids teach nothing, a null text counts as empty,
+    and without labels the model is a constant.
     """
     small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_fold(id_col) != 2))
     n = known.count()
     if n > max_train:
         known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int((1 << 30) * (max_train / n)))
-    known = known.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y")).limit(2 * max_train)
-    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y")
+    known = known.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("y"))
+    known = known.orderBy(F.xxhash64("id"), "id", "y").limit(2 * max_train)
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "y", F.xxhash64("id", "text").alias("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 x = features(*raw(part.column("text")))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("y"), flat], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("y"), part.column("k"), flat], ["y", "k", "x"])
 
-    got = src.mapInArrow(run, "y int, x array<double>").limit(2 * max_train).toArrow()
+    got = src.mapInArrow(run, "y int, k bigint, x array<double>").orderBy("k", "y").limit(2 * max_train).toArrow()
     x = got.column("x").combine_chunks()
     x = (x.flatten() if isinstance(x, pa.ListArray) else pa.chunked_array(x).combine_chunks().flatten()).to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y = got.column("y").to_numpy().astype(float)
@@ -245,7 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """id, score and predicted of every row, from its whole text. No shuffle; null scores as empty."""
+    """id, score and predicted of every row, from its whole text.
+
+    No shuffle. A null text scores as an empty one, a null id stays null, repeated rows
+    have a row each, and equal texts have equal scores.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +266,10 @@ def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_good(docs: DataFrame, model: Gam, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the model accepts, all columns unchanged."""
+    """The rows of docs that the model accepts, all columns (of any name) unchanged.
+
+    A null text is judged as an empty one; equal texts, repeated rows too, fare alike.
+    """
     small_batches(docs.sparkSession)
     schema = docs.schema
 
