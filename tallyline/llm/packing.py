@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import sys
 import types
@@ -23,8 +24,8 @@ CAPACITY = 2048
 SMALL, GROUPS = 8, 96
 #: Word parts whose ids a worker remembers, about 60 bytes each.
 CACHE_WORDS = 500_000
-#: Sequences, or small pieces, in one best-fit block.
-BLOCK = 20_000
+#: Sequences, or small pieces, in one best-fit block; pieces of one length that are ranked together.
+BLOCK, RANKED = 20_000, 1000
 
 
 # ---- tokens -----------------------------------------------------------------
@@ -36,6 +37,25 @@ _WORDY = np.zeros(256, bool)
 _WORDY[[*range(48, 58), *range(97, 123)]] = True
 
 
+#: What a tokenizer's file says if its ids are those of its words: the normalizer's steps, and how text is split.
+#: Fixed values of the public tokenizer in word_bpe_49k.json.
+_STEPS = ["NFC", "Replace \\s+", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer encodes a text word by word, so that words can be cut, lower-cased and remembered."""
+    with open(path, encoding="utf-8") as f:
+        j = json.load(f)
+    steps = [f"{x['type']} {x['pattern'].get('Regex')}" if x["type"] == "Replace" else x["type"] for x in (j["normalizer"] or {}).get("normalizers", [])]
+    split, *more = (j["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    bytes_ = [(x["type"], x["add_prefix_space"], x["use_regex"]) for x in more if x["type"] == "ByteLevel"]
+    plain = split.get("type") == "Split" and split["pattern"].get("Regex") == _SPLIT and split["behavior"] == "Removed" and split["invert"]
+    model = j["model"]["type"] == "BPE" and not any(j["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    special = all(a["content"].startswith("<|") and not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"]) for a in j["added_tokens"])
+    return steps == _STEPS and plain and len(more) == 1 and bytes_ == [("ByteLevel", False, False)] and model and special and not j["post_processor"]
+
+
 class _Cache:
     """Ids of the word parts a worker has seen, by sorted 64-bit hash; entry 0 is the closing id 0."""
 
@@ -44,6 +64,7 @@ class _Cache:
 
         self.path, self.tok = path, Tokenizer.from_file(path)
         self.model = self.tok.model
+        self.by_words = by_words(path)
         # the byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the rest from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -139,9 +160,17 @@ def _encode(path: str, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     """Ids of the rows one after another, and where each row's begin; each row ends with id 0.
 
     A text's ids are those of its word parts in order (A-Z lower-cased first, as the
-    tokenizer does, but for words that may hold a special token).
+    tokenizer does, but for words that may hold a special token). Tokenizers of another
+    make get whole texts, a few at a time.
     """
     cache = _cache(path)
+    if not cache.by_words:
+        got = []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+            got += [np.array(cache.tok.encode(data[a:b].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32), np.zeros(1, np.uint32)]
+        begin = np.zeros(len(off), np.int64)
+        np.cumsum([len(x) + 1 for x in got[::2]], out=begin[1:])
+        return np.concatenate(got) if got else np.zeros(0, np.uint32), begin
     low = LOWER[data]
     text = data.tobytes()
     special = [m.start() for m in re.finditer(rb"<\|", text)]
@@ -340,7 +369,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     key = F.xxhash64("id", "row_hash", "piece")
 
     # ranks: counts of (length, block) before, then a number inside
-    spread = max(1, -(-max(hist.values(), default=1) // BLOCK))
+    spread = max(1, -(-max(hist.values(), default=1) // RANKED))
     parts = pieces.withColumn("blk", F.pmod(key, F.lit(spread)).cast("int"))
     large = parts.filter((F.col("length") > small) & (F.col("length") < capacity))
     before = large.groupBy("length", "blk").agg(F.count(F.lit(1)).alias("n"))
@@ -395,5 +424,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit_pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize every text once, stage the pieces, and pack them. See token_pieces and pack."""
+    """Tokenize every text once, stage the pieces, and pack them. See token_pieces and pack.
+
+    Null and empty texts are one piece of one token, and repeated rows have pieces each.
+    Words are remembered by 64-bit hashes: two of the CACHE_WORDS words of a worker share
+    one with a probability of about 1e-8.
+    """
     return pack(stage(token_pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces"), capacity).withColumnRenamed("id", id_col)
