@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._spark import ascii_lower, stage
+from ._spark import ascii_lower, fresh, hot_share, stage, with_might_hold
 
 #: White space that a key loses at both ends.
 STRIP = " \t\n\x0b\f\r"
-#: Keys tracked while looking for hot ones; those above 1/1000 of all lines are aggregated apart.
-TRACKED, HOT_SHARE = 10_000, 1_000
+#: Keys tracked while looking for hot ones are this many times those that can be hot.
+TRACKED = 10
 #: A bitmap table of at most this many rows and 64-line words is broadcast.
 BROADCAST_ROWS, BROADCAST_WORDS = 200_000, 2_000_000
 
@@ -23,10 +23,11 @@ def split_lines(text: Column) -> Column:
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """Keep bitmaps of the documents that lose lines: id, row_hash, keep_words, n_dropped.
+    """Keep bitmaps of the documents that lose lines: id, row_hash, keep_at, keep_words, n_dropped; a stored table.
 
-    keep_words is an array of 64-bit words; bit p % 64 of word p / 64 is 0 where line p
-    goes, and lines beyond the array stay. Documents without a row lose nothing. A key
+    keep_words holds the bitmap's 64-bit words but for full ones, keep_at their numbers in
+    order; bit p % 64 of word p / 64 is 0 where line p goes, and lines of words that are
+    not there stay. Documents without a row lose nothing. A key
     (line without outer white space, A-Z lower-cased) of min_chars code points that two
     documents hold stays only in the smallest id. Null and empty texts are one empty
     line. row_hash tells apart rows of one id with different texts; equal rows share a
@@ -34,8 +35,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     96-bit key hashes are range-partitioned and sorted by document and position, and one
     streaming window marks what comes after a key's first document. Keys that hold more
-    than a thousandth of all lines, a thousand at most, skip the range partitions: a
-    map-side aggregate finds their first documents.
+    than 1 / hot_share of all lines, so hot_share at most, skip the range partitions: a
+    map-side aggregate finds their first documents, and those are broadcast.
     """
     top = F.lit(2**63 - 1)
     lines = docs.select(
@@ -47,8 +48,9 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = keyed.filter(F.length("key") >= min_chars)
     occ = stage(keyed.select(F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), "id", "row_hash", "pos"), "lines")
 
-    found = occ.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {HOT_SHARE}, {TRACKED})").alias("top")).first()
-    hot = [r["item"] for r in found["top"] or [] if r["count"] * HOT_SHARE > found["n"] and r["count"] > 1]
+    share = hot_share(docs.sparkSession)
+    found = occ.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h1, {share}, {min(TRACKED * share, 1_000_000)})").alias("top")).first()
+    hot = [r["item"] for r in found["top"] or [] if r["count"] * share > found["n"] and r["count"] > 1]
     rest = occ.filter(~F.col("h1").isin(hot)) if hot else occ
     ranged = rest.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "id", "pos")
     by_key = Window.partitionBy("h1", "h2").orderBy("id", "pos")
@@ -64,31 +66,47 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs_words = words.groupBy("id", "row_hash").agg(
         F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("keep")))).alias("s"), F.sum("n").alias("n_dropped")
     )
-    dense = F.expr(
-        "transform(array(s), t -> flatten(transform(t, (x, i) -> concat("
-        "array_repeat(-1L, x.word - if(i = 0, 0, t[i - 1].word + 1)), array(x.keep)))))[0]"
-    )
-    return docs_words.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "row_hash", dense.alias("keep_words"), "n_dropped")
+    return stage(docs_words.select(F.when(F.col("id") != top, F.col("id")).alias(id_col), "row_hash", F.col("s.word").alias("keep_at"), F.col("s.keep").alias("keep_words"), "n_dropped"), "bitmaps")
+
 
+def _dense(at: str, words: str) -> Column:
+    """All words up to the last that is not full, so that one is found without a search."""
+    return F.expr(f"flatten(transform({at}, (w, i) -> concat(array_repeat(-1L, w - if(i = 0, 0, {at}[i - 1] + 1)), array({words}[i]))))")
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the struct column line_dedup: n_lines, n_dropped, kept_text.
 
-    The bitmaps are broadcast while few (their rows and words are counted first); beyond
-    that both sides meet by a shuffle on the id. Null and empty texts give an empty text.
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", to: str = "line_dedup") -> DataFrame:
+    """docs with a struct column (`to`, a name that docs lack): n_lines, n_dropped, kept_text.
+
+    The bitmaps, a stored table, are broadcast while few (rows and words are counted
+    first). Beyond that, texts that may have one (told by a bitmap of their hashes) meet
+    them by a shuffle, and the others stay in place. Null and empty texts give an empty
+    text; docs may have any other columns.
     """
-    b = bitmaps.select(F.col(id_col).alias("__bid"), F.col("row_hash").alias("__brow"), F.col("keep_words").alias("__keep"), F.col("n_dropped").alias("__gone"))
+    if to in docs.columns:
+        raise ValueError(f"docs have a column {to}")
+    bid, brow, keep_at, keep_words, gone = (fresh(docs, c) for c in ("bitmap_id", "bitmap_row", "bitmap_at", "bitmap_words", "bitmap_gone"))
+    own = fresh(docs, "own_row")
+    docs = docs.withColumn(own, F.xxhash64(_text(text_col)))
+    b = bitmaps.select(F.col(id_col).alias(bid), F.col("row_hash").alias(brow), F.col("keep_at").alias(keep_at), F.col("keep_words").alias(keep_words), F.col("n_dropped").alias(gone))
     n, w = bitmaps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("keep_words")), F.lit(0))).first()
+    match = F.col(id_col).eqNullSafe(F.col(bid)) & (F.col(own) == F.col(brow))
     if n <= BROADCAST_ROWS and w <= BROADCAST_WORDS:
-        b = F.broadcast(b)
-    both = docs.join(b, docs[id_col].eqNullSafe(b["__bid"]) & (F.xxhash64(_text(text_col)) == b["__brow"]), "left")
+        both = docs.join(F.broadcast(b), match, "left")
+    else:
+        may = fresh(docs, "may_lose")
+        told = with_might_hold(docs, F.col(own), b.select(brow), n, may)
+        nothing = [F.lit(None).cast(b.schema[c].dataType).alias(c) for c in b.columns]
+        both = told.filter(may).join(b, match, "left").unionByName(told.filter(~F.col(may)).select("*", *nothing)).drop(may)
     all_lines = split_lines(_text(text_col))
-    keep = F.col("__keep")
+    keep = _dense(keep_at, keep_words)
 
     def stays(_, i):
         word = F.floor(i / 64).cast("int")
-        return (word >= F.size(keep)) | (F.getbit(F.get(keep, word), F.pmod(i, F.lit(64)).cast("int")) == 1)
-
-    kept = F.when(keep.isNull(), _text(text_col)).otherwise(F.array_join(F.filter(all_lines, stays), "\n"))
-    info = F.struct(F.size(all_lines).cast("bigint").alias("n_lines"), F.coalesce("__gone", F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept_text"))
-    return both.withColumn("line_dedup", info).drop("__bid", "__brow", "__keep", "__gone")
+        return (word >= F.size(keep_col)) | (F.getbit(F.get(keep_col, word), F.pmod(i, F.lit(64)).cast("int")) == 1)
+
+    dense = fresh(docs, "bitmap_dense")
+    keep_col = F.col(dense)
+    both = both.withColumn(dense, keep)
+    kept = F.when(keep_col.isNull(), _text(text_col)).otherwise(F.array_join(F.filter(all_lines, stays), "\n"))
+    info = F.struct(F.size(all_lines).cast("bigint").alias("n_lines"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept_text"))
+    return both.withColumn(to, info).drop(bid, brow, keep_at, keep_words, gone, own, dense)
