@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-SKIP = ("stream_ingest_equiv", "stream_fee_window")
 
 
 def main() -> None:
@@ -26,8 +25,6 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     for name, query in entry.queries().items():
-        if name in SKIP:
-            continue
         start = time.time()
         query(spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
