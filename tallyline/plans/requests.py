@@ -157,6 +157,11 @@ def _chunks(first: int, last: int, size: int) -> list[tuple[int, int]]:
     return [(a, min(a + size - 1, last)) for a in range(first, last + 1, size)]
 
 
+def checkpoint_before(seq: int) -> int:
+    """The last checkpoint up to seq: ledgers with (sequence + 1) % 64 = 0 are checkpoints; the first one if there is none."""
+    return max(seq - (seq + 1) % CHECKPOINT, CHECKPOINT - 1)
+
+
 def plan_backfill(store: LedgerRange, cold: LedgerRange, window: int, chunk: int = CHUNK) -> BackfillPlan:
     """What to copy from the cold store so that the last `window` ledgers of it are local.
 
@@ -165,7 +170,7 @@ def plan_backfill(store: LedgerRange, cold: LedgerRange, window: int, chunk: int
     """
     if cold.empty:
         raise InvalidRequest("cold store is empty")
-    tip = max(cold.last - cold.last % CHECKPOINT, cold.first) if cold.last >= CHECKPOINT else cold.last
+    tip = min(checkpoint_before(cold.last), cold.last)
     start = max(cold.first, cold.last - window + 1)
     if store.empty:
         return BackfillPlan([], _chunks(start, tip, chunk))

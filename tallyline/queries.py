@@ -10,7 +10,7 @@ from .functions import cursor as C
 from .operators import events as ev, fees, ledgers as lg, state as st, transactions as tx
 from .operators.events import EventFilter
 from .plans import requests as rq
-from .sources import views as v
+from .sources import lake, views as v
 from .streaming import ingest
 
 Q: dict = {}
@@ -35,7 +35,7 @@ def _ev_sql(where: str, limit: int | None = None, cols: str = IDS) -> str:
 
 
 def _search(spark, d, first=None, last=None, filters=(), limit=None, after=None) -> DataFrame:
-    df = v.events(spark, d, first, last)
+    df = v.stored_events(spark, d, first, last)
     out = ev.page(df, filters, after, limit=limit) if limit else ev.matching(df, filters)
     return out.select(EV_COLS)
 
@@ -50,7 +50,7 @@ def ev_scan_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ev_sql("ledger_seq >= 50 AND ledger_seq < 60"))
 def ev_window_clamp(spark: SparkSession, d: str) -> DataFrame:
-    at, end = rq.event_window(rq.LedgerRange(2, 721), start=50, end=60)
+    at, end = rq.event_window(lg.range_of(v.ledgers(spark, d)), start=50, end=60)
     return _search(spark, d, at.ledger, end - 1)
 
 
@@ -105,20 +105,15 @@ def ev_page2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ev_sql("ledger_seq BETWEEN 200 AND 210"))
 def ev_page_walk(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of 100 until a short one, each from the cursor that the last gave; all pages together."""
-    pages, after = [], None
+    """Pages of 100 until a short one, each from the cursor that the last gave; what lies up to the last cursor."""
+    df, after, ends = v.stored_events(spark, d, 200, 210), None, []
     while True:
-        p = _search(spark, d, 200 if after is None else C.Cursor.parse(after).ledger, 210, limit=100, after=after)
-        ids = [r["id"] for r in p.select("id").collect()]
-        if ids:
-            pages.append(p.filter(F.col("id").between(ids[0], ids[-1])))
+        ids = [r["id"] for r in ev.page(df, after=after, limit=100).select("id").collect()]
+        after = rq.next_event_cursor(ids, 100, 211)
+        ends += ids[:1] + ids[-1:]
         if len(ids) < 100:
             break
-        after = rq.next_event_cursor(ids, 100, 211)
-    out = pages[0] if pages else p
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out
+    return (df.filter(F.col("id").between(ends[0], ends[-1])) if ends else df.limit(0)).select(EV_COLS)
 
 
 _CLOSED = "strftime(make_timestamp(close_time::BIGINT * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS closed_at"
@@ -127,24 +122,24 @@ _KIND = "CASE WHEN event_kind = 0 THEN 'system' ELSE 'contract' END AS type"
 
 @query(_ev_sql("ledger_seq BETWEEN 30 AND 90", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, base64(encode(topic1)) || ',' || base64(encode(topic2)) AS topics, base64(encode(data)) AS data"))
 def ev_projection_b64(spark: SparkSession, d: str) -> DataFrame:
-    return ev.info(v.events(spark, d, 30, 90))
+    return ev.info(v.stored_events(spark, d, 30, 90))
 
 
 @query(_ev_sql("ledger_seq BETWEEN 30 AND 90", cols=f"""id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, '["' || topic1 || '","' || topic2 || '"]' AS topics, data"""))
 def ev_projection_json(spark: SparkSession, d: str) -> DataFrame:
-    return ev.info(v.events(spark, d, 30, 90), json=True)
+    return ev.info(v.stored_events(spark, d, 30, 90), json=True)
 
 
 @query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, coalesce(base64(encode(topic1)), '') || ',' || coalesce(base64(encode(topic2)), '') AS topics, base64(encode(data)) AS data"))
 def ev_projection_b64_all(spark: SparkSession, d: str) -> DataFrame:
     """As ev_projection_b64, whose SQL takes ledgers 30 to 90, over all events."""
-    return ev.info(v.events(spark, d))
+    return ev.info(v.stored_events(spark, d))
 
 
 @query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, to_json([topic1, topic2])::VARCHAR AS topics, data"))
 def ev_projection_json_all(spark: SparkSession, d: str) -> DataFrame:
     """As ev_projection_json, whose SQL takes ledgers 30 to 90, over all events."""
-    return ev.info(v.events(spark, d), json=True)
+    return ev.info(v.stored_events(spark, d), json=True)
 
 
 _STAGES = """u AS (SELECT ledger_seq, tx_index, 0 AS op_index, event_id AS ord, s.stage FROM num_ev, (VALUES (NULL), ('before_all'), ('after_tx'), ('after_all')) s(stage) WHERE ledger_seq <= 60),
@@ -176,7 +171,7 @@ def ev_stage_order_all(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {v.EVENTS_SQL} SELECT id, ledger_seq AS ledger, tx_index AS tx, 0::BIGINT AS op, pos::BIGINT AS pos FROM ev")
 def cursor_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     pos = F.substring("id", 1, 19).cast("bigint")
-    back = v.events(spark, d).select("id", pos.alias("pos"))
+    back = v.stored_events(spark, d).select("id", pos.alias("pos"))
     return back.select("id", C.ledger_of(F.col("pos")).alias("ledger"), C.tx_of(F.col("pos")).alias("tx"), C.op_of(F.col("pos")).alias("op"), "pos")
 
 
@@ -232,7 +227,7 @@ def lg_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_lg_sql(f"SELECT * FROM (SELECT {_LG} FROM lg WHERE sequence >= 201 ORDER BY sequence LIMIT 50)"))
 def lg_page(spark: SparkSession, d: str) -> DataFrame:
-    start = rq.ledger_start(rq.LedgerRange(2, 721), cursor="200")
+    start = rq.ledger_start(lg.range_of(v.ledgers(spark, d)), cursor="200")
     return lg.page(v.ledgers(spark, d, start), start, rq.limit_of(None, rq.LEDGER_LIMITS))
 
 
@@ -258,7 +253,7 @@ def lg_trim(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {v.EVENTS_SQL} SELECT {IDS} FROM ev WHERE ledger_seq >= (SELECT max(ledger_seq) FROM ev) + 1 - 48")
 def ev_trim(spark: SparkSession, d: str) -> DataFrame:
     latest = lg.range_of(v.ledgers(spark, d)).last
-    return lg.trim(v.events(spark, d, latest + 1 - 48), latest, 48, "ledger_seq").select(EV_COLS)
+    return lg.trim(v.stored_events(spark, d, latest + 1 - 48), latest, 48, "ledger_seq").select(EV_COLS)
 
 
 @query(_lg_sql("SELECT max(sequence) AS latest, min(sequence) AS oldest, max_by(protocol_version, sequence) AS protocol_version, (1706918400 - max_by(close_time, sequence))::BIGINT AS latency FROM lg"))
@@ -290,23 +285,24 @@ def _tx_range(spark, d) -> DataFrame:
 
 @query(_by_hash_sql(_HIT))
 def tx_by_hash(spark: SparkSession, d: str) -> DataFrame:
-    return tx.by_hash(v.transactions(spark, d), _tx_range(spark, d), _HIT)
+    return tx.by_hash(v.stored_transactions(spark, d), _tx_range(spark, d), _HIT)
 
 
 @query(_by_hash_sql(_MISS))
 def tx_by_hash_miss(spark: SparkSession, d: str) -> DataFrame:
-    return tx.by_hash(v.transactions(spark, d), _tx_range(spark, d), _MISS)
+    return tx.by_hash(v.stored_transactions(spark, d), _tx_range(spark, d), _MISS)
 
 
 @query(_tx_sql(f"SELECT * FROM (SELECT {_TX} FROM tx WHERE ledger_seq >= 500 ORDER BY pos LIMIT 50)"))
 def tx_page(spark: SparkSession, d: str) -> DataFrame:
-    return tx.page(v.transactions(spark, d, 500), C.Cursor(500, 1, 1).pos(), rq.limit_of(None, rq.TX_LIMITS))
+    return tx.page(v.stored_transactions(spark, d, 500), C.Cursor(500, 1, 1).pos(), rq.limit_of(None, rq.TX_LIMITS))
 
 
 @query(_tx_sql(f"SELECT * FROM (SELECT {_TX} FROM tx WHERE pos >= {C.Cursor(510, 3, 0).pos()} ORDER BY pos LIMIT 120)"))
 def tx_page_cursor(spark: SparkSession, d: str) -> DataFrame:
-    start = rq.tx_start(rq.LedgerRange(2, 10**6), cursor=str(C.Cursor(510, 2, 1).pos()))
-    return tx.page(v.transactions(spark, d, 510), start, rq.limit_of(120, rq.TX_LIMITS))
+    r = _tx_range(spark, d).first()
+    start = rq.tx_start(rq.LedgerRange(r["first_seq"], r["last_seq"]), cursor=str(C.Cursor(510, 2, 1).pos()))
+    return tx.page(v.stored_transactions(spark, d, 510), start, rq.limit_of(120, rq.TX_LIMITS))
 
 
 @query(_tx_sql("SELECT ledger_seq, count(*) AS tx_count FROM raw_tx GROUP BY 1"))
@@ -323,19 +319,19 @@ def tx_missing_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_tx_sql("SELECT key, min(ledger_seq) AS ledger_seq, arg_min(application_order, (ledger_seq, application_order)) AS application_order FROM (SELECT hash AS key, ledger_seq, application_order FROM tx UNION ALL SELECT inner_hash, ledger_seq, application_order FROM tx WHERE inner_hash IS NOT NULL) GROUP BY key"))
 def tx_feebump_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return tx.lookup_keys(v.transactions(spark, d))
+    return tx.lookup_keys(v.stored_transactions(spark, d))
 
 
 @query(_tx_sql(f"SELECT {_TX} FROM tx WHERE ledger_seq >= (SELECT max(ledger_seq) FROM tx) + 1 - 100"))
 def tx_trim(spark: SparkSession, d: str) -> DataFrame:
     latest = _tx_range(spark, d).first()["last_seq"]
-    return tx.projected(lg.trim(v.transactions(spark, d, latest + 1 - 100), latest, 100, "ledger_seq"))
+    return tx.projected(lg.trim(v.stored_transactions(spark, d, latest + 1 - 100), latest, 100, "ledger_seq"))
 
 
 @query(_tx_sql("SELECT CASE WHEN n_ops = 0 THEN 'none' WHEN n_ops = 1 THEN 'contract' ELSE 'classic' END AS kind, count(*) AS n, count(*) FILTER (successful) AS n_ok FROM tx GROUP BY 1"))
 def tx_op_types(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("n_ops") == 0, "none").when(F.col("n_ops") == 1, "contract").otherwise("classic")
-    return v.transactions(spark, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if("successful").alias("n_ok"))
+    return v.stored_transactions(spark, d).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if("successful").alias("n_ok"))
 
 
 # ---- fees ---------------------------------------------------------------------------
@@ -356,7 +352,7 @@ SELECT {", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in cols)}, CASE WHEN
 
 def _dist(spark, d, kind, window) -> DataFrame:
     rq.check_fee_windows(rq.CLASSIC_WINDOW, rq.CONTRACT_WINDOW, rq.RETENTION)
-    t = v.transactions(spark, d, _LATEST - window + 1, _LATEST)
+    t = v.stored_transactions(spark, d, _LATEST - window + 1, _LATEST)
     return fees.distribution(fees.derive(t), t, kind, _LATEST, window)
 
 
@@ -380,12 +376,12 @@ SELECT as_of, list_max(s) AS max, list_min(s) AS min, mode, {_PICKS}, len(s) AS
 
 @query(_sliding_sql("classic", 10))
 def fee_sliding(spark: SparkSession, d: str) -> DataFrame:
-    return fees.sliding(fees.derive(v.transactions(spark, d)), "classic", rq.CLASSIC_WINDOW)
+    return fees.sliding(fees.derive(v.stored_transactions(spark, d)), "classic", rq.CLASSIC_WINDOW)
 
 
 @query(_sliding_sql("contract", 50))
 def fee_sliding_contract(spark: SparkSession, d: str) -> DataFrame:
-    return fees.sliding(fees.derive(v.transactions(spark, d)), "contract", rq.CONTRACT_WINDOW)
+    return fees.sliding(fees.derive(v.stored_transactions(spark, d)), "contract", rq.CONTRACT_WINDOW)
 
 
 _QS = ", ".join(f"s[1 + ({p} * (len(s) - 1)) // 100] AS q{p}" for p in (50, 90, 99))
@@ -422,7 +418,8 @@ def st_diff_class(spark: SparkSession, d: str) -> DataFrame:
 # ---- backfill and streaming ---------------------------------------------------------------------
 
 
-@query(_lg_sql("SELECT 'forward' AS phase, c * 64 + (SELECT max(sequence) FROM lg WHERE sequence <= 300) + 1 AS first, least(c * 64 + 64 + (SELECT max(sequence) FROM lg WHERE sequence <= 300), (SELECT max(sequence) - max(sequence) % 64 FROM lg)) AS last FROM range(0, 100) t(c) WHERE c * 64 + (SELECT max(sequence) FROM lg WHERE sequence <= 300) + 1 <= (SELECT max(sequence) - max(sequence) % 64 FROM lg)"))
+@query(_lg_sql("""SELECT 'forward' AS phase, a AS first, least(a + 63, tip) AS last
+FROM (SELECT unnest(range(have + 1, tip + 1, 64)) AS a, tip FROM (SELECT (SELECT max(sequence) FROM lg WHERE sequence <= 300) AS have, (SELECT max(s) FROM lg, range(0, 100000) t(s) WHERE (s + 1) % 64 = 0 AND s <= (SELECT max(sequence) FROM lg)) AS tip))""" ))
 def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
     cold = lg.range_of(v.ledgers(spark, d))
     local = lg.range_of(v.ledgers(spark, d, None, 300))
@@ -437,7 +434,7 @@ STREAM_ROWS = 1_000_000
 
 def _streamed(spark: SparkSession, d: str, first: int | None, last: int | None) -> DataFrame:
     """Events written in ledger order as files, streamed in with one file a batch, and read back."""
-    base = _scratch(spark)
+    base = lake.scratch(spark, "ingest")
     src = v.events(spark, d, first, last)
     known = v.ledgers(spark, d, first, last).select(F.col("sequence").alias("ledger_seq"), "tx_count")
     lo, hi, n = known.agg(F.min("ledger_seq"), F.max("ledger_seq"), F.sum("tx_count")).first()
@@ -466,7 +463,7 @@ def stream_ingest_all(spark: SparkSession, d: str) -> DataFrame:
 @query(_dist_sql("classic", 10, "(SELECT max(ledger_seq) FROM raw_tx WHERE ledger_seq BETWEEN 1980 AND 2000)"))
 def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
     """Transactions streamed in, one file a batch, and the fee distribution as of the last published ledger."""
-    base = _scratch(spark)
+    base = lake.scratch(spark, "ingest")
     src = v.transactions(spark, d, 1980, 2000)
     for a, b in ((1980, 1989), (1990, 2000)):
         src.filter(F.col("ledger_seq").between(a, b)).coalesce(1).write.mode("append").parquet(f"{base}/in")
@@ -475,18 +472,6 @@ def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current_fees(spark, f"{base}/store", "classic", rq.CLASSIC_WINDOW)
 
 
-def _scratch(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tallyline-")
-    return f"{found.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 def queries() -> dict:
     return dict(Q)
 

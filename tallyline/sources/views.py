@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.cursor import event_id, pack
+from . import lake
 
 EPOCH = dt.datetime(2024, 1, 1)
 ORDER_EPOCH = dt.datetime(1995, 1, 1)
@@ -54,6 +55,12 @@ def events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
     )
 
 
+def stored_events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """As events, from a table by ledger bucket, sorted by id, with Bloom filters on contract and topics."""
+    path, schema = lake.stored(spark, sf_dir, "events", lambda: events(spark, sf_dir), "ledger_seq", ["id"], ("contract_id", "topic1", "topic2"))
+    return lake.read(spark, path, "ledger_seq", first, last, schema)
+
+
 EVENTS_SQL = """
 raw_ev AS (SELECT *, (2 + ((epoch_us(ts) - 1704067200000000) // 3600000000))::BIGINT AS ledger_seq FROM events),
 num_ev AS (SELECT *, row_number() OVER (PARTITION BY ledger_seq ORDER BY event_id) AS tx_index FROM raw_ev),
@@ -85,6 +92,12 @@ def transactions(spark: SparkSession, sf_dir: str, first: int | None = None, las
     )
 
 
+def stored_transactions(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """As transactions, from a table by ledger bucket, sorted by position, with Bloom filters on the hashes."""
+    path, schema = lake.stored(spark, sf_dir, "transactions", lambda: transactions(spark, sf_dir), "ledger_seq", ["pos"], ("hash", "inner_hash"))
+    return lake.read(spark, path, "ledger_seq", first, last, schema)
+
+
 def close_time(seq: Column) -> Column:
     return F.lit(788918400) + (seq - 1) * 86400
 

@@ -194,16 +194,34 @@ def test_state(spark):
 def test_backfill_plans():
     L = rq.LedgerRange
     p = rq.plan_backfill(L(1, 0), L(2, 200), 64, 50)
-    assert p.backward == [] and p.forward == [(137, 186), (187, 192)]
+    assert p.backward == [] and p.forward == [(137, 186), (187, 191)]
     p = rq.plan_backfill(L(150, 160), L(2, 200), 100, 30)
-    assert p.backward == [(120, 149), (101, 119)] and p.forward == [(161, 190), (191, 192)]
-    assert rq.plan_backfill(L(90, 192), L(2, 200), 100).backward == []
+    assert p.backward == [(120, 149), (101, 119)] and p.forward == [(161, 190), (191, 191)]
+    assert rq.plan_backfill(L(90, 191), L(2, 200), 100).backward == []
     with pytest.raises(InvalidRequest):
         rq.plan_backfill(L(500, 600), L(2, 200), 100)
     assert rq.short_by(L(1, 600), 1000) == 400 and rq.short_by(L(1, 700), 1000) == 0
     assert L(1, 3).hull(L(7, 9)) == L(1, 9)
 
 
+def test_checkpoints():
+    """The first checkpoints of the public network are 63, 127 and 191."""
+    assert [rq.checkpoint_before(s) for s in (63, 64, 126, 127, 190, 191, 200)] == [63, 63, 63, 127, 127, 191, 191]
+
+
+def test_stored_events_prune(spark):
+    from tallyline import queries as q
+    from tallyline.sources import views
+
+    d = "/root/testdata/sf0.001"
+    df = ev.matching(views.stored_events(spark, d, 100, 300), [EventFilter(contracts=(3, 7, 11))])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "In(contract_id, [3,7,11])" in plan
+    assert "ledger_bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    plan = q.Q["tx_by_hash"](spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(hash," in plan and "lineitem" not in plan
+
+
 def test_checked_ids():
     blob = bytes(range(32))
     text = sc.checked_id(blob)
