@@ -11,7 +11,7 @@ from .operators import events as ev, fees, ledgers as lg, state as st, transacti
 from .operators.events import EventFilter
 from .plans import requests as rq
 from .sources import lake, views as v
-from .streaming import ingest
+from .streaming import ingest, store
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -472,6 +472,75 @@ def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current_fees(spark, f"{base}/store", "classic", rq.CLASSIC_WINDOW)
 
 
+# ---- the store of three tables -------------------------------------------------------------------
+
+_NESTED = """n AS (SELECT ledger_seq AS sequence, application_order, o.o_orderkey, o.o_orderstatus <> 'F' AS successful FROM
+  (SELECT *, row_number() OVER (PARTITION BY ledger_seq ORDER BY o_orderkey) AS application_order FROM raw_tx) o),
+e AS (SELECT sequence, (sequence * 4294967296 + application_order * 4096) AS pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_returnflag, l_quantity) - 1 AS i, l_suppkey, l_returnflag, l_quantity
+  FROM n JOIN lineitem ON l_orderkey = o_orderkey),
+t AS (SELECT sequence, count(*) AS n_txs, count(*) + count(*) FILTER (o_orderkey % 5 = 0) AS n_keys, count(*) FILTER (successful) AS n_ok FROM n GROUP BY 1),
+v AS (SELECT sequence, count(*) AS n_events, max(lpad(pos::VARCHAR, 19, '0') || '-' || lpad(i::VARCHAR, 10, '0')) AS last_id, sum(l_quantity::BIGINT)::BIGINT AS data FROM e GROUP BY 1),
+three AS (SELECT sequence, 788918400 + (sequence - 1) * 86400 AS close_time, n_txs, n_keys, n_ok, coalesce(n_events, 0) AS n_events, last_id, data FROM t LEFT JOIN v USING (sequence))"""
+
+
+def _three(now: store.Snapshot, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A row a ledger from the three tables of a snapshot."""
+    tx_ = now.table("transactions", first, last).groupBy("sequence").agg(F.count(F.lit(1)).alias("n_keys"), F.countDistinct(F.when(F.col("successful"), F.col("application_order"))).alias("n_ok"))
+    ev_ = now.table("events", first, last).groupBy("sequence").agg(F.count(F.lit(1)).alias("n_events"), F.max("id").alias("last_id"), F.sum("data").alias("data"))
+    out = now.table("ledgers", first, last).join(tx_, "sequence", "left").join(ev_, "sequence", "left")
+    return out.select("sequence", "close_time", F.col("tx_count").alias("n_txs"), "n_keys", "n_ok", F.coalesce("n_events", F.lit(0)).alias("n_events"), "last_id", "data")
+
+
+def _nested_known(spark: SparkSession, d: str):
+    """Counts the ledgers that the source has between two numbers."""
+    day = (F.lit(2) + F.datediff("o_orderdate", F.lit(v.ORDER_EPOCH.date()))).cast("bigint")
+    have = v.table(spark, d, "orders").select(day.alias("sequence")).distinct()
+    return lambda a, b: have.filter(F.col("sequence").between(a, b)).count()
+
+
+@query(_tx_sql(f", {_NESTED} SELECT * FROM three WHERE sequence >= (SELECT max(sequence) FROM three) + 1 - 900"))
+def store_ingest_trim(spark: SparkSession, d: str) -> DataFrame:
+    """Nested ledgers streamed into a store of the last 900: three tables under one commit a batch, trimmed with each."""
+    base = lake.scratch(spark, "store")
+    r = _tx_range(spark, d).first()
+    src = v.nested_ledgers(spark, d)
+    width = -(-(r["last_seq"] - r["first_seq"] + 1) // 3)
+    for a in range(r["first_seq"], r["last_seq"] + 1, width):
+        v.nested_ledgers(spark, d, a, a + width - 1).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s = store.Store(spark, f"{base}/store", window=900)
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run = s.ingest(_nested_known(spark, d))
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return _three(s.snapshot())
+
+
+class _Killed(Exception):
+    """What stops the first run of backfill_resumed."""
+
+
+@query(_tx_sql(f""", {_NESTED} SELECT * FROM three WHERE sequence > (SELECT max(sequence) FROM three) - 1500
+AND sequence <= (SELECT max(s) FROM range(0, 100000) t(s) WHERE (s + 1) % 64 = 0 AND s <= (SELECT max(sequence) FROM three))"""))
+def backfill_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """A store with ledgers 1500 to 1600 is filled from the source to the last 1500, is killed on the way and goes on."""
+    s = store.Store(spark, lake.scratch(spark, "store"))
+    r = _tx_range(spark, d).first()
+    all_ = rq.LedgerRange(r["first_seq"], r["last_seq"])
+    cold = lambda a, b: v.nested_ledgers(spark, d, a, b)
+    s.commit(store.split(cold(1500, 1600)))
+    seen = []
+
+    def kill(a: int, b: int) -> None:
+        seen.append((a, b))
+        if len(seen) == 1:
+            raise _Killed
+
+    try:
+        s.backfill(cold, lambda: all_, window=1500, chunk=200, after_chunk=kill)
+    except _Killed:
+        s.backfill(cold, lambda: all_, window=1500, chunk=200)
+    return _three(s.snapshot())
+
+
 def queries() -> dict:
     return dict(Q)
 

@@ -20,6 +20,8 @@ def write(df: DataFrame, path: str, seq: str, order: list[str], blooms: tuple[st
     out = df.withColumn("ledger_bucket", bucket(F.col(seq)))
     out = out.repartition("ledger_bucket", F.floor(F.col(seq) / 10)).sortWithinPartitions("ledger_bucket", *order)
     w = out.write.mode(mode).partitionBy("ledger_bucket")
+    if blooms:  # as large as a row group's values need, not a megabyte each
+        w = w.option("parquet.bloom.filter.adaptive.enabled", "true")
     for c in blooms:
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     w.parquet(path)

@@ -102,6 +102,23 @@ def close_time(seq: Column) -> Column:
     return F.lit(788918400) + (seq - 1) * 86400
 
 
+def nested_ledgers(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Ledgers that hold their transactions, and those their events (an order's lines): see streaming.store.split."""
+    orders = _between(table(spark, sf_dir, "orders"), "o_orderdate", *_day(first, last))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
+    lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    line = F.struct("l_linenumber", F.col("l_suppkey").alias("contract_id"), F.col("l_returnflag").alias("topic1"), F.col("l_quantity").cast("bigint").alias("data"))
+    ops = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    hash_ = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
+    inner = F.when(F.col("o_orderkey") % 5 == 0, F.sha2(F.concat(F.lit("inner"), F.col("o_orderkey").cast("string")).cast("binary"), 256))
+    events_ = F.transform("lines", lambda x: F.struct(x["contract_id"], x["topic1"], x["data"]))
+    tx = F.struct("o_orderkey", hash_.alias("key"), inner.alias("inner_key"), (F.col("o_orderstatus") != "F").alias("successful"), events_.alias("events"))
+    seq = (F.lit(FIRST) + F.datediff("o_orderdate", F.lit(ORDER_EPOCH.date()))).cast("bigint")
+    some = orders.join(ops, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(seq.alias("sequence")).agg(F.sort_array(F.collect_list(tx)).alias("all"))
+    txs = F.transform("all", lambda x: F.struct(x["key"], x["inner_key"], x["successful"], x["events"]))
+    return some.select("sequence", close_time(F.col("sequence")).alias("close_time"), txs.alias("txs"))
+
+
 TX_SQL = """
 raw_tx AS (SELECT *, (2 + date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)))::BIGINT AS ledger_seq FROM orders),
 ops AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1),
