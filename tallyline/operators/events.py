@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.cursor import MAX_OP, MAX_TX, event_id, pack
+from ..functions.cursor import after_all, after_tx, before_all, event_id, pack
 from ..plans.errors import InvalidParams
 
 ONE, REST = "*", "**"
@@ -90,10 +90,9 @@ def staged_ids(df: DataFrame, stage: str = "stage") -> DataFrame:
     Numbers run per ledger for before_all and after_all, per transaction for after_tx,
     per operation else; all of them partition by ledger at least.
     """
-    c = F.col(stage)
-    key = F.when(c == "before_all", F.lit(0)).when(c == "after_all", F.lit(MAX_TX)).otherwise(F.col("tx_index"))
-    op = F.when(c == "after_tx", F.lit(MAX_OP)).when(c.isNotNull(), F.lit(0)).otherwise(F.col("op_index"))
-    out = df.withColumn("pos", pack(F.col("ledger_seq"), key, op))
+    c, ledger, at = F.col(stage), F.col("ledger_seq"), F.col("tx_index")
+    pos = F.when(c == "before_all", before_all(ledger)).when(c == "after_all", after_all(ledger)).when(c == "after_tx", after_tx(ledger, at))
+    out = df.withColumn("pos", pos.otherwise(pack(ledger, at, F.col("op_index"))))
     by = Window.partitionBy("ledger_seq", "pos").orderBy("tx_index", "ord")
     out = out.withColumn("event_index", (F.row_number().over(by) - 1).cast("bigint"))
     return out.withColumn("id", event_id(F.col("pos"), F.col("event_index")))

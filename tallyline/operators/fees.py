@@ -60,7 +60,7 @@ def sliding(fees: DataFrame, kind: str, window: int) -> DataFrame:
 
 def lower_index_quantiles(df: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """Report quantiles: element floor(p * (n - 1) / 100), from 0, of the sorted values; min, max and count."""
-    to = Window.partitionBy(by).orderBy(value)
-    c = df.select(by, value, (F.row_number().over(to) - 1).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(by)).alias("total"))
-    picks = [F.max(F.when(F.col("k") == F.expr(f"{p} * (total - 1) div 100"), F.col(value))).alias(f"q{p}") for p in percents]
-    return c.groupBy(by).agg(*picks, F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("n"))
+    hist = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))  # combined on the map side: a hot key is its distinct values
+    c = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy(value))).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
+    picks = [F.min(F.when(F.col("upto") > F.expr(f"{p} * (total - 1) div 100"), F.col(value))).alias(f"q{p}") for p in percents]
+    return c.groupBy(by).agg(*picks, F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").cast("bigint").alias("n"))

@@ -10,8 +10,8 @@ from ..plans.requests import check_hash
 FIELDS = ("hash", "ledger_seq", "application_order", "close_time", "fee_charged", "n_ops")
 
 
-def projected(txs: DataFrame) -> DataFrame:
-    return txs.select(*FIELDS, F.when(F.col("successful"), "SUCCESS").otherwise("FAILED").alias("status"))
+def projected(txs: DataFrame, *more: str) -> DataFrame:
+    return txs.select(*FIELDS, *more, F.when(F.col("successful"), "SUCCESS").otherwise("FAILED").alias("status"))
 
 
 def by_hash(txs: DataFrame, ledger_range: DataFrame, tx_hash: str) -> DataFrame:

@@ -114,7 +114,16 @@ def check_hash(text: str) -> str:
     return text.lower()
 
 
+@dataclass(frozen=True)
+class TtlKey:
+    """The key of an entry's time to live, which comes with the entry and cannot be asked for."""
+
+    key: int
+
+
 def check_keys(keys: list) -> list:
+    if any(isinstance(k, TtlKey) for k in keys):
+        raise InvalidParams("ledger ttl entries cannot be queried directly")
     if not keys:
         raise InvalidParams("keys cannot be empty")
     if len(keys) > MAX_KEYS:

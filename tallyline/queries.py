@@ -6,8 +6,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import cursor as C
-from .operators import events as ev, fees, ledgers as lg, state as st, transactions as tx
+from .functions import cursor as C, scalars as sc
+from .operators import events as ev, fees, ledgers as lg, service, state as st, transactions as tx
 from .operators.events import EventFilter
 from .plans import requests as rq
 from .sources import lake, views as v
@@ -472,6 +472,103 @@ def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
     return ingest.current_fees(spark, f"{base}/store", "classic", rq.CLASSIC_WINDOW)
 
 
+@query(_tx_sql(f"""SELECT hash, inner_hash AS inner_key, ledger_seq, application_order, close_time, successful, n_ops AS n_events FROM tx WHERE hash = '{_HIT}'"""))
+def tx_body(spark: SparkSession, d: str) -> DataFrame:
+    """A transaction's body: its place by hash, the ledger joined by number, and the element of the ledger's array at that place."""
+    place = v.stored_transactions(spark, d).filter(F.col("hash") == _HIT).select("hash", "ledger_seq", "application_order").first()
+    if place is None:
+        return v.stored_transactions(spark, d).limit(0).select("hash", F.col("inner_hash").alias("inner_key"), "ledger_seq", "application_order", "close_time", "successful", F.col("n_ops").alias("n_events"))
+    seq, order = place["ledger_seq"], place["application_order"]
+    found = tx.at_position(v.nested_ledgers(spark, d, seq, seq), order)
+    return found.select(
+        F.col("tx.key").alias("hash"), "tx.inner_key", F.col("sequence").alias("ledger_seq"), F.lit(order).cast("bigint").alias("application_order"),
+        v.close_time(F.col("sequence")).alias("close_time"), "tx.successful", F.coalesce(F.size("tx.events"), F.lit(0)).cast("bigint").alias("n_events"),
+    )
+
+
+# ---- scalar functions -----------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS key, lower(hex(encode(c_name))) AS hex, c_name AS back, c_name AS plain, c_name AS unhexed, c_custkey::BIGINT AS whole, c_custkey::INTEGER AS small, (90 * (c_custkey % 50 + 1) + 99) // 100 AS p90 FROM customer")
+def fn_scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Encodings and checked numbers, over all customers."""
+    name, key = F.col("c_name"), F.col("c_custkey").cast("bigint")
+    return v.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("key"), sc.hex_lower(name.cast("binary")).alias("hex"), sc.unbase64_capped(F.base64(name.cast("binary"))).cast("string").alias("back"),
+        sc.strip_nul(F.concat(name, F.lit("\x00"))).alias("plain"), sc.unhex_checked(F.hex(name.cast("binary"))).cast("string").alias("unhexed"),
+        sc.unsigned(key).alias("whole"), sc.to_int32(key).alias("small"), sc.nearest_rank(F.sequence(F.lit(1).cast("bigint"), key % 50 + 1), 90).alias("p90"),
+    )
+
+
+@query()
+def fn_contract_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Checked identifiers of all contracts; base32 and the checksum have no SQL, tests compare them with plain Python."""
+    ids = v.table(spark, d, "events").select("user_id").distinct()
+    return ids.select("user_id", sc.encode_contract(F.unhex(F.sha2(F.col("user_id").cast("string").cast("binary"), 256))).alias("contract"))
+
+
+# ---- whole requests ----------------------------------------------------------------------------
+
+_EV_INFO = f"{_KIND}, ledger_seq, {_CLOSED}, contract_id, id, 0 AS op_index, tx_index::INTEGER AS tx_index, in_successful AS in_successful_call, tx_hash, "
+_EV_TOPICS = "base64(encode(topic1)) || ',' || base64(encode(topic2)) AS topic, base64(encode(data)) AS value"
+_RANGE = "(SELECT max({0}) FROM {1}) AS latest_ledger, (SELECT max(close_time) FROM {1}) AS latest_close, (SELECT min({0}) FROM {1}) AS oldest_ledger, (SELECT min(close_time) FROM {1}) AS oldest_close"
+_LG_RANGE, _TX_RANGE = _RANGE.format("sequence", "lg"), _RANGE.format("ledger_seq", "tx")
+
+
+def _events_reply_sql(where: str, limit: int, end: str) -> str:
+    """A page, its range, and as the cursor the last id of a full page or the last position before `end`."""
+    last = f"lpad((({end}) * 4294967296 - 1)::VARCHAR, 19, '0') || '-4294967295'"
+    return f"""WITH {v.EVENTS_SQL}, {v.LEDGERS_SQL}, p AS (SELECT * FROM ev WHERE {where} ORDER BY id LIMIT {limit})
+SELECT {_EV_INFO}{_EV_TOPICS}, {_LG_RANGE}, (SELECT CASE WHEN count(*) = {limit} THEN max(id) ELSE {last} END FROM p) AS cursor FROM p"""
+
+
+@query(_events_reply_sql("ledger_seq >= 40 AND (topic1 = 'view' OR contract_id IN (2, 3))", 75, "SELECT max(sequence) + 1 FROM lg"))
+def rpc_events(spark: SparkSession, d: str) -> DataFrame:
+    filters = [EventFilter(topics=(("view", ev.ONE),)), EventFilter(contracts=(2, 3))]
+    return service.get_events(v.stored_events(spark, d), lg.range_of(v.ledgers(spark, d)), 40, filters=filters, limit=75).flat()
+
+
+@query(_events_reply_sql(f"id > '{C.Cursor(45, 1, 0, 0)}' AND ledger_seq < 60 AND event_kind = 0", 100, "60"))
+def rpc_events_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """The rest of a window up to a cursor's end ledger: a short page, so the cursor is the window's end."""
+    store_ = lg.range_of(v.ledgers(spark, d))
+    store_ = rq.LedgerRange(store_.first, 59, store_.first_close, store_.last_close)  # as of ledger 59
+    out = service.get_events(v.stored_events(spark, d), store_, cursor=str(C.Cursor(45, 1, 0, 0)), filters=[EventFilter(kinds=(0,))]).flat()
+    return out.withColumn("latest_ledger", F.lit(lg.range_of(v.ledgers(spark, d)).last).cast("bigint"))
+
+
+def _tx_store(spark: SparkSession, d: str) -> rq.LedgerRange:
+    r = _tx_range(spark, d).first()
+    return rq.LedgerRange(r["first_seq"], r["last_seq"], 788918400 + (r["first_seq"] - 1) * 86400, 788918400 + (r["last_seq"] - 1) * 86400)
+
+
+@query(_tx_sql(f", p AS (SELECT * FROM tx WHERE ledger_seq >= 900 ORDER BY pos LIMIT 60) SELECT {_TX}, inner_hash IS NOT NULL AS fee_bump, {_TX_RANGE}, (SELECT max(pos)::VARCHAR FROM p) AS cursor FROM p"))
+def rpc_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return service.get_transactions(v.stored_transactions(spark, d), _tx_store(spark, d), 900, limit=60).flat()
+
+
+@query(_lg_sql(f", p AS (SELECT * FROM lg WHERE sequence > 300 ORDER BY sequence LIMIT 20) SELECT {_LG}, {_CLOSED}, {_LG_RANGE}, (SELECT max(sequence)::VARCHAR FROM p) AS cursor FROM p"))
+def rpc_ledgers(spark: SparkSession, d: str) -> DataFrame:
+    all_ = v.ledgers(spark, d)
+    return service.get_ledgers(all_, lg.range_of(all_), cursor="300", limit=20).flat()
+
+
+@query(f"WITH {v.ENTRIES_SQL}, {v.LEDGERS_SQL} SELECT i - 1 AS ordinal, key, entry, last_modified, live_until, {_LG_RANGE} FROM (SELECT unnest({_KEYS}::BIGINT[]) AS k, unnest(range(1, {len(_KEYS) + 1})) AS i) JOIN st ON key = k")
+def rpc_ledger_entries(spark: SparkSession, d: str) -> DataFrame:
+    return service.get_entries(spark, v.entries(spark, d), _KEYS, lg.range_of(v.ledgers(spark, d))).flat()
+
+
+def _fee_stats_sql() -> str:
+    latest = "(SELECT max(ledger_seq) FROM raw_tx)"
+    part = lambda kind, window: f"SELECT *, '{kind}' AS kind FROM ({_dist_sql(kind, window, latest)})"
+    return f"WITH {v.TX_SQL}, b AS ({part('classic', 10)} UNION ALL {part('contract', 50)}) SELECT b.*, {_TX_RANGE} FROM b"
+
+
+@query(_fee_stats_sql())
+def rpc_fee_stats(spark: SparkSession, d: str) -> DataFrame:
+    return service.get_fee_stats(v.stored_transactions(spark, d), _tx_store(spark, d)).flat()
+
+
 # ---- the store of three tables -------------------------------------------------------------------
 
 _NESTED = """n AS (SELECT ledger_seq AS sequence, application_order, o.o_orderkey, o.o_orderstatus <> 'F' AS successful FROM

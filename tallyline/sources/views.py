@@ -52,6 +52,7 @@ def events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
         (F.lit(1704067200) + (F.col("ledger_seq") - 1) * 3600).alias("close_time"),
         F.floor(F.col("value") * 100).cast("bigint").alias("fee"),
         F.col("props").alias("data"), F.col("event_id").alias("raw_id"),
+        F.sha2(F.concat(F.lit("tx"), F.col("event_id").cast("string")).cast("binary"), 256).alias("tx_hash"), (F.col("user_id") % 10 != 0).alias("in_successful"),
     )
 
 
@@ -66,7 +67,8 @@ raw_ev AS (SELECT *, (2 + ((epoch_us(ts) - 1704067200000000) // 3600000000))::BI
 num_ev AS (SELECT *, row_number() OVER (PARTITION BY ledger_seq ORDER BY event_id) AS tx_index FROM raw_ev),
 ev AS (SELECT *, ledger_seq * 4294967296 + tx_index * 4096 AS pos, lpad((ledger_seq * 4294967296 + tx_index * 4096)::VARCHAR, 19, '0') || '-0000000000' AS id,
   user_id AS contract_id, CASE WHEN event_type = 'error' THEN 0 ELSE 1 END::BIGINT AS event_kind, event_type AS topic1, json_extract_string(props, '$.k') AS topic2,
-  1704067200 + (ledger_seq - 1) * 3600 AS close_time, floor(value * 100)::BIGINT AS fee, props AS data FROM num_ev)"""
+  1704067200 + (ledger_seq - 1) * 3600 AS close_time, floor(value * 100)::BIGINT AS fee, props AS data,
+  sha256('tx' || event_id) AS tx_hash, user_id % 10 <> 0 AS in_successful FROM num_ev)"""
 
 
 def _day(first: int | None, last: int | None) -> tuple:
