@@ -120,52 +120,27 @@ _CLOSED = "strftime(make_timestamp(close_time::BIGINT * 1000000), '%Y-%m-%dT%H:%
 _KIND = "CASE WHEN event_kind = 0 THEN 'system' ELSE 'contract' END AS type"
 
 
-@query(_ev_sql("ledger_seq BETWEEN 30 AND 90", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, base64(encode(topic1)) || ',' || base64(encode(topic2)) AS topics, base64(encode(data)) AS data"))
-def ev_projection_b64(spark: SparkSession, d: str) -> DataFrame:
-    return ev.info(v.stored_events(spark, d, 30, 90))
-
-
-@query(_ev_sql("ledger_seq BETWEEN 30 AND 90", cols=f"""id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, '["' || topic1 || '","' || topic2 || '"]' AS topics, data"""))
-def ev_projection_json(spark: SparkSession, d: str) -> DataFrame:
-    return ev.info(v.stored_events(spark, d, 30, 90), json=True)
-
-
 @query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, coalesce(base64(encode(topic1)), '') || ',' || coalesce(base64(encode(topic2)), '') AS topics, base64(encode(data)) AS data"))
-def ev_projection_b64_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ev_projection_b64, whose SQL takes ledgers 30 to 90, over all events."""
+def ev_projection_b64(spark: SparkSession, d: str) -> DataFrame:
     return ev.info(v.stored_events(spark, d))
 
 
 @query(_ev_sql("true", cols=f"id, {_KIND}, ledger_seq, {_CLOSED}, contract_id, to_json([topic1, topic2])::VARCHAR AS topics, data"))
-def ev_projection_json_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ev_projection_json, whose SQL takes ledgers 30 to 90, over all events."""
+def ev_projection_json(spark: SparkSession, d: str) -> DataFrame:
     return ev.info(v.stored_events(spark, d), json=True)
 
 
-_STAGES = """u AS (SELECT ledger_seq, tx_index, 0 AS op_index, event_id AS ord, s.stage FROM num_ev, (VALUES (NULL), ('before_all'), ('after_tx'), ('after_all')) s(stage) WHERE ledger_seq <= 60),
+_STAGES = """u AS (SELECT ledger_seq, tx_index, 0 AS op_index, event_id AS ord, s.stage FROM num_ev, (VALUES (NULL), ('before_all'), ('after_tx'), ('after_all')) s(stage)),
 k AS (SELECT *, ledger_seq * 4294967296 + CASE WHEN stage = 'before_all' THEN 0 WHEN stage = 'after_all' THEN 1048575 ELSE tx_index END * 4096
   + CASE WHEN stage = 'after_tx' THEN 4095 ELSE 0 END AS pos FROM u),
 n AS (SELECT *, row_number() OVER (PARTITION BY ledger_seq, pos ORDER BY tx_index, ord) - 1 AS event_index FROM k)"""
 
 
-_STAGED = "SELECT ledger_seq, tx_index, coalesce(stage, 'op') AS stage, event_index, lpad(pos::VARCHAR, 19, '0') || '-' || lpad(event_index::VARCHAR, 10, '0') AS id FROM n"
-
-
-def _staged(e: DataFrame) -> DataFrame:
-    e = e.select("ledger_seq", "tx_index", "op_index", F.col("raw_id").alias("ord"))
-    four = e.withColumn("stage", F.explode(F.array(F.lit(None).cast("string"), F.lit("before_all"), F.lit("after_tx"), F.lit("after_all"))))
-    return ev.staged_ids(four).select("ledger_seq", "tx_index", F.coalesce("stage", F.lit("op")).alias("stage"), "event_index", "id")
-
-
 @query(f"WITH {v.EVENTS_SQL}, {_STAGES} SELECT ledger_seq, tx_index, coalesce(stage, 'op') AS stage, event_index, lpad(pos::VARCHAR, 19, '0') || '-' || lpad(event_index::VARCHAR, 10, '0') AS id FROM n")
 def ev_stage_order(spark: SparkSession, d: str) -> DataFrame:
-    return _staged(v.events(spark, d, None, 60))
-
-
-@query(f"WITH {v.EVENTS_SQL}, {_STAGES.replace(' WHERE ledger_seq <= 60', '')} {_STAGED}")
-def ev_stage_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """As ev_stage_order, whose SQL ends at ledger 60, over all events."""
-    return _staged(v.events(spark, d))
+    e = v.events(spark, d).select("ledger_seq", "tx_index", "op_index", F.col("raw_id").alias("ord"))
+    four = e.withColumn("stage", F.explode(F.array(F.lit(None).cast("string"), F.lit("before_all"), F.lit("after_tx"), F.lit("after_all"))))
+    return ev.staged_ids(four).select("ledger_seq", "tx_index", F.coalesce("stage", F.lit("op")).alias("stage"), "event_index", "id")
 
 
 @query(f"WITH {v.EVENTS_SQL} SELECT id, ledger_seq AS ledger, tx_index AS tx, 0::BIGINT AS op, pos::BIGINT AS pos FROM ev")
@@ -204,14 +179,8 @@ def lg_gap_check(spark: SparkSession, d: str) -> DataFrame:
     return lg.gap_check(v.ledgers(spark, d), 0, 2**31)
 
 
-@query(_lg_sql("SELECT sequence + 1 AS gap_start, nxt - 1 AS gap_end FROM (SELECT sequence, lead(sequence) OVER (ORDER BY sequence) AS nxt FROM lg WHERE sequence % 7 <> 0) WHERE nxt > sequence + 1"))
-def lg_gap_list(spark: SparkSession, d: str) -> DataFrame:
-    return lg.gaps(v.ledgers(spark, d).filter("sequence % 7 <> 0"), 64)
-
-
 @query(_lg_sql("SELECT sequence + 1 AS gap_start, nxt - 1 AS gap_end FROM (SELECT sequence, lead(sequence) OVER (ORDER BY sequence) AS nxt FROM lg) WHERE nxt > sequence + 1"))
-def lg_gap_list_all(spark: SparkSession, d: str) -> DataFrame:
-    """As lg_gap_list, whose SQL leaves out each seventh ledger, over the ledgers as they are."""
+def lg_gap_list(spark: SparkSession, d: str) -> DataFrame:
     return lg.gaps(v.ledgers(spark, d), 64)
 
 
@@ -432,11 +401,12 @@ def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
 STREAM_ROWS = 1_000_000
 
 
-def _streamed(spark: SparkSession, d: str, first: int | None, last: int | None) -> DataFrame:
+@query(_ev_sql("true"))
+def stream_ingest_equiv(spark: SparkSession, d: str) -> DataFrame:
     """Events written in ledger order as files, streamed in with one file a batch, and read back."""
     base = lake.scratch(spark, "ingest")
-    src = v.events(spark, d, first, last)
-    known = v.ledgers(spark, d, first, last).select(F.col("sequence").alias("ledger_seq"), "tx_count")
+    src = v.events(spark, d)
+    known = v.ledgers(spark, d).select(F.col("sequence").alias("ledger_seq"), "tx_count")
     lo, hi, n = known.agg(F.min("ledger_seq"), F.max("ledger_seq"), F.sum("tx_count")).first()
     if lo is None:
         return src.select(EV_COLS)
@@ -449,17 +419,6 @@ def _streamed(spark: SparkSession, d: str, first: int | None, last: int | None)
     return ingest.published(spark, f"{base}/store").select(EV_COLS)
 
 
-@query(_ev_sql("ledger_seq BETWEEN 2 AND 200"))
-def stream_ingest_equiv(spark: SparkSession, d: str) -> DataFrame:
-    return _streamed(spark, d, 2, 200)
-
-
-@query(_ev_sql("true"))
-def stream_ingest_all(spark: SparkSession, d: str) -> DataFrame:
-    """As stream_ingest_equiv, whose SQL ends at ledger 200, over all events."""
-    return _streamed(spark, d, None, None)
-
-
 @query(_dist_sql("classic", 10, "(SELECT max(ledger_seq) FROM raw_tx WHERE ledger_seq BETWEEN 1980 AND 2000)"))
 def stream_fee_window(spark: SparkSession, d: str) -> DataFrame:
     """Transactions streamed in, one file a batch, and the fee distribution as of the last published ledger."""
