@@ -244,6 +244,39 @@ def test_ingest_is_ordered_and_idempotent(spark, tmp_path):
     assert ingest.trimmed(spark, str(tmp_path / "store"), 2).count() == 4
 
 
+def test_rows_of_a_failed_attempt_are_not_seen_and_doubles_are_stored_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = events(spark, [(s, 1, 1, 1, ["a"]) for s in range(2, 6)])
+    run = ingest.ingest_batch(path)
+    ingest.lake.write(df.withColumn("attempt", F.lit("died")), f"{path}/rows", "ledger_seq", ["id"])
+    run(df.unionByName(df), 0)
+    got = ingest.published(spark, path)
+    assert got.count() == 4 and "attempt" not in got.columns
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_retries_are_bounded_but_not_while_the_source_is_empty():
+    def steps(*errors):
+        todo, slept = list(errors), []
+
+        def step():
+            if todo:
+                raise todo.pop(0)
+            return len(slept)
+
+        return step, slept
+
+    step, slept = steps(OSError(), OSError(), NotFound(), *[OSError()] * 5)
+    assert ingest.retrying(step, sleep=slept.append) == 8 and slept == [1.0] * 8
+    step, slept = steps(*[OSError()] * 6)
+    with pytest.raises(OSError):
+        ingest.retrying(step, sleep=slept.append)
+    step, slept = steps(InvalidRequest("gap"))
+    with pytest.raises(InvalidRequest):
+        ingest.retrying(step, sleep=slept.append)
+    assert slept == []
+
+
 def test_fees_follow_what_is_published(spark, tmp_path):
     path = str(tmp_path / "store")
     with pytest.raises(NotFound):
@@ -252,12 +285,12 @@ def test_fees_follow_what_is_published(spark, tmp_path):
     df = spark.createDataFrame(rows, "hash string, ledger_seq bigint, pos bigint, n_ops bigint, fee_charged bigint, resource_fee bigint")
     run = ingest.ingest_batch(path, order=("pos",))
     run(df.filter("ledger_seq <= 310"), 0)
-    ingest.lake.write(df.filter("ledger_seq > 310").withColumn("batch_id", F.lit(1)), f"{path}/rows", "ledger_seq", ["pos"])  # died before publishing
+    ingest.lake.write(df.filter("ledger_seq > 310").withColumn("attempt", F.lit("died")), f"{path}/rows", "ledger_seq", ["pos"])  # died before publishing
     row = ingest.current_fees(spark, path, "classic", 3).first()
     assert (row["min"], row["max"], row["fee_count"], row["ledger_count"]) == (30800, 31000, 6, 3)
     run(df, 1)
     assert ingest.current_fees(spark, path, "classic", 3).first()["max"] == 31900
-    plan = ingest.published(spark, path, key="hash", first=310)._jdf.queryExecution().executedPlan().toString()
+    plan = ingest.published(spark, path, first=310)._jdf.queryExecution().executedPlan().toString()
     assert "ledger_bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
