@@ -386,6 +386,29 @@ def test_rule_measures(docs, empty):
     assert rule_ledger.measure(empty).count() == 0
 
 
+@pytest.mark.parametrize("version", [1, 2])
+def test_policies_and_ablations_against_plain_python(spark, version):
+    """Over every set of failed rules, one to three times each."""
+    p = rule_ledger.POLICIES[version]
+    names = [n for n, _ in rule_ledger.RULES]
+
+    def kept(failed):
+        return not failed & set(p.fatal) and len(failed & set(p.counted)) < p.most
+
+    sets = {m: {n for i, n in enumerate(names) if m >> i & 1} for m in range(1 << len(names))}
+    rows_ = [(m, m) for m in sets for _ in range(1 + m % 3)]
+    ledger = spark.createDataFrame(rows_, "doc_id bigint, failures bigint")
+    got = rule_ledger.apply_policy(ledger, version).collect()
+    assert all(r["kept"] == kept(sets[r["failures"]]) for r in got)
+    used = set(p.fatal) | set(p.counted)
+    want = {
+        n: (sum(n in sets[m] for m, _ in rows_), sum(not kept(sets[m]) and kept(sets[m] - {n}) for m, _ in rows_))
+        for n in used
+    }
+    abl = {r["rule"]: (r["failed"], r["only_this"]) for r in rule_ledger.ablations(ledger, version).collect()}
+    assert abl == want and any(n for _, n in want.values())
+
+
 # ---- 5 and 1, on held-out rows ----
 
 SF = "/root/testdata/sf0.01"
