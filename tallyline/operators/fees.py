@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PERCENTS = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99)
+#: Operations that pay for resources, and the versions of a transaction's meta that say how much.
+CONTRACT_OPS, RESOURCE_META = ("invoke", "extend_ttl", "restore"), (3, 4)
+#: Report percentiles and the share of ranks by which each may be off.
+RECENT = ((50, 0.05), (90, 0.01), (99, 0.001))
 
 
-def derive(txs: DataFrame) -> DataFrame:
-    """ledger_seq, kind, fee: one operation pays its inclusion fee (contract), others a share each (classic).
+def by_op_type() -> tuple[Column, Column]:
+    """(is contract, resource fee) for derive, from op_type, meta_version, nonrefundable and refundable.
 
-    Transactions without operations are left out, and so are contract ones of unknown
-    resource fee. The subtraction is signed: a negative fee shows.
+    A contract transaction's one operation is of CONTRACT_OPS; its resource fee is both
+    parts together, unknown if its meta has another version or lacks a part.
     """
-    contract = F.col("n_ops") == 1
-    fee = F.when(contract, F.col("fee_charged") - F.col("resource_fee")).otherwise(F.expr("fee_charged div n_ops"))
+    contract = (F.col("n_ops") == 1) & F.coalesce(F.col("op_type").isin(*CONTRACT_OPS), F.lit(False))
+    return contract, F.when(F.col("meta_version").isin(*RESOURCE_META), F.col("nonrefundable") + F.col("refundable"))
+
+
+def derive(txs: DataFrame, parts: tuple[Column, Column] | None = None) -> DataFrame:
+    """ledger_seq, kind, fee: contract transactions pay their inclusion fee, others (classic) a share an operation.
+
+    parts are (is contract, resource fee), as of by_op_type; without, one operation makes
+    a contract transaction and the column resource_fee is what it paid. Transactions
+    without operations are left out, and so are contract ones of unknown resource fee.
+    The subtraction is signed: a negative fee shows.
+    """
+    contract, resource = parts or (F.col("n_ops") == 1, F.col("resource_fee"))
+    fee = F.when(contract, F.col("fee_charged") - resource).otherwise(F.expr("fee_charged div n_ops"))
     return txs.filter("n_ops > 0").select("ledger_seq", F.when(contract, "contract").otherwise("classic").alias("kind"), fee.cast("bigint").alias("fee")).filter("fee is not null")
 
 
@@ -64,3 +80,15 @@ def lower_index_quantiles(df: DataFrame, by: str, value: str, percents: tuple[in
     c = hist.withColumn("upto", F.sum("n").over(Window.partitionBy(by).orderBy(value))).withColumn("total", F.sum("n").over(Window.partitionBy(by)))
     picks = [F.min(F.when(F.col("upto") > F.expr(f"{p} * (total - 1) div 100"), F.col(value))).alias(f"q{p}") for p in percents]
     return c.groupBy(by).agg(*picks, F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("n").cast("bigint").alias("n"))
+
+
+def recent_quantiles(df: DataFrame, at: str, value: str, by: str, span: str = "10 minutes", slide: str = "5 minutes") -> DataFrame:
+    """by, start, n and q50, q90, q99 of every sliding window of time; an element each, off by the ranks of RECENT at most.
+
+    Summaries combine on the map side. Also for a stream with a watermark, as windows
+    then close. Null values are left out, and so are windows without any.
+    """
+    some = df.filter(F.col(value).isNotNull() & F.col(at).isNotNull())
+    picks = [F.percentile_approx(value, F.lit(p / 100), F.lit(round(2 / error))).alias(f"q{p}") for p, error in RECENT]
+    per = some.groupBy(by, F.window(at, span, slide).alias("span")).agg(F.count(F.lit(1)).alias("n"), *picks)
+    return per.select(by, F.col("span.start").alias("start"), "n", *[f"q{p}" for p, _ in RECENT])

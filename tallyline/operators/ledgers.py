@@ -94,6 +94,16 @@ def trim(df: DataFrame, latest: int, window: int, seq: str = "sequence") -> Data
     return df.filter(F.col(seq) >= latest + 1 - window) if latest + 1 > window else df
 
 
+def protocol_of(ledgers: DataFrame, known: tuple[int, ...] = (1, 2)) -> int:
+    """The protocol version in the last ledger's header; an error if its meta (column meta_version) is of none of the known versions."""
+    r = ledgers.agg(F.max_by(F.struct("meta_version", "protocol_version"), "sequence").alias("r")).first()["r"]
+    if r is None:
+        raise InvalidRequest("DB is empty")
+    if r["meta_version"] not in known:
+        raise InvalidRequest(f"unsupported ledger meta version: {r['meta_version']}")
+    return r["protocol_version"]
+
+
 def newest(ledgers: DataFrame) -> DataFrame:
     """The last ledger's row, by one aggregate and no sort."""
     cols = [c for c in ledgers.columns if c != "sequence"]

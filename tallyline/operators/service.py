@@ -84,6 +84,17 @@ def get_entries(spark: SparkSession, entries: DataFrame, keys: Sequence, store:
     return Reply(st.lookup(spark, entries, keys), store)
 
 
+def get_latest_ledger(ledgers: DataFrame, store: rq.LedgerRange) -> Reply:
+    """The last ledger that the store's range holds: hash, protocol version and number."""
+    at = lg.point(ledgers, store.last).select("hash", "protocol_version", "sequence")
+    return Reply(at, store)
+
+
+def get_network(spark: SparkSession, ledgers: DataFrame, passphrase: str, faucet: str = "") -> DataFrame:
+    """passphrase, faucet and the protocol version of the last ledger."""
+    return spark.createDataFrame([(passphrase, faucet, lg.protocol_of(ledgers))], "passphrase string, faucet string, protocol_version bigint")
+
+
 def get_fee_stats(txs: DataFrame, store: rq.LedgerRange, classic: int = rq.CLASSIC_WINDOW, contract: int = rq.CONTRACT_WINDOW) -> Reply:
     """A distribution row a kind over its own window up to the latest ledger."""
     rq.check_fee_windows(classic, contract, rq.RETENTION)

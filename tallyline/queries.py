@@ -361,6 +361,25 @@ def fee_report_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return fees.lower_index_quantiles(v.events(spark, d), "topic1", "fee")
 
 
+@query(f"""WITH {v.TX_SQL}, o AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag, l_suppkey)) AS flag FROM lineitem GROUP BY 1),
+x AS (SELECT ledger_seq, n_ops, fee_charged, (n_ops = 1 AND coalesce(flag IN ('R', 'A'), false)) AS contract,
+  CASE WHEN o_orderkey % 4 + 1 IN (3, 4) AND o_orderkey % 9 <> 0 THEN fee_charged // 4 + fee_charged // 12 END AS resource
+  FROM raw_tx JOIN (SELECT hash, n_ops, fee_charged FROM tx) t ON hash = sha256(o_orderkey::VARCHAR) LEFT JOIN o ON l_orderkey = o_orderkey),
+f AS (SELECT ledger_seq, CASE WHEN contract THEN 'contract' ELSE 'classic' END AS kind, CASE WHEN contract THEN fee_charged - resource ELSE fee_charged // n_ops END AS fee FROM x WHERE n_ops > 0)
+SELECT ledger_seq, kind, count(*) AS n, min(fee)::BIGINT AS lo, max(fee)::BIGINT AS hi, sum(fee)::BIGINT AS total FROM f WHERE fee IS NOT NULL GROUP BY 1, 2""")
+def fee_by_op_type(spark: SparkSession, d: str) -> DataFrame:
+    """Fees of all transactions by the type of their operation, both parts of the resource fee taken off; per ledger and kind."""
+    f = fees.derive(v.fee_parts(spark, d), fees.by_op_type())
+    return f.groupBy("ledger_seq", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("fee").alias("lo"), F.max("fee").alias("hi"), F.sum("fee").alias("total"))
+
+
+@query()
+def fee_recent_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries of all events by topic and sliding ten minutes; approximate, so tests bound the ranks by plain Python."""
+    e = v.table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return fees.recent_quantiles(e, "ts", "value", "event_type")
+
+
 # ---- state --------------------------------------------------------------------------------
 
 _KEYS = [77, 3, 1000000007, 12, 5, 77, 90]
@@ -517,6 +536,17 @@ def rpc_ledger_entries(spark: SparkSession, d: str) -> DataFrame:
     return service.get_entries(spark, v.entries(spark, d), _KEYS, lg.range_of(v.ledgers(spark, d))).flat()
 
 
+@query(_lg_sql(f"SELECT hash, protocol_version, sequence, {_LG_RANGE} FROM lg ORDER BY sequence DESC LIMIT 1"))
+def rpc_latest_ledger(spark: SparkSession, d: str) -> DataFrame:
+    all_ = v.ledgers(spark, d)
+    return service.get_latest_ledger(all_, lg.range_of(all_)).flat()
+
+
+@query(_lg_sql("SELECT 'test network' AS passphrase, '' AS faucet, max_by(protocol_version, sequence) AS protocol_version FROM lg"))
+def rpc_network(spark: SparkSession, d: str) -> DataFrame:
+    return service.get_network(spark, v.ledgers(spark, d).withColumn("meta_version", F.lit(2)), "test network")
+
+
 def _fee_stats_sql() -> str:
     latest = "(SELECT max(ledger_seq) FROM raw_tx)"
     part = lambda kind, window: f"SELECT *, '{kind}' AS kind FROM ({_dist_sql(kind, window, latest)})"

@@ -100,6 +100,19 @@ def stored_transactions(spark: SparkSession, sf_dir: str, first: int | None = No
     return lake.read(spark, path, "ledger_seq", first, last, schema)
 
 
+def fee_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fees derive from in full: ledger_seq, n_ops, op_type of the first operation, fee_charged, meta_version, nonrefundable, refundable."""
+    flags = F.min_by("l_returnflag", F.struct("l_linenumber", "l_returnflag", "l_suppkey")).alias("flag")
+    ops = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), flags)
+    df = table(spark, sf_dir, "orders").join(ops, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key, fee = F.col("o_orderkey"), F.floor(F.col("o_totalprice") * 100).cast("bigint")
+    return df.select(
+        (F.lit(FIRST) + F.datediff("o_orderdate", F.lit(ORDER_EPOCH.date()))).cast("bigint").alias("ledger_seq"), F.coalesce("n", F.lit(0)).alias("n_ops"),
+        F.when(F.col("flag") == "R", "invoke").when(F.col("flag") == "A", "restore").otherwise("payment").alias("op_type"), fee.alias("fee_charged"),
+        (key % 4 + 1).alias("meta_version"), F.expr("floor(o_totalprice * 100) div 4").alias("nonrefundable"), F.when(key % 9 != 0, F.expr("floor(o_totalprice * 100) div 12")).alias("refundable"),
+    )
+
+
 def close_time(seq: Column) -> Column:
     return F.lit(788918400) + (seq - 1) * 86400
 

@@ -166,6 +166,40 @@ def test_fee_distribution(spark, values, want):
     assert list(row)[:-1] == want and row["ledger_count"] == (3 if values else 0)
 
 
+def test_contract_fees_by_op_type(spark):
+    rows = [
+        (2, 1, "invoke", 100, 3, 20, 5), (2, 1, "extend_ttl", 100, 4, 0, 130), (2, 1, "restore", 90, 4, 30, 0),
+        (3, 1, "payment", 70, 2, None, None), (3, 2, "invoke", 71, 3, 1, 1), (3, 1, "invoke", 100, 2, 1, 1), (3, 1, "invoke", 100, 3, 1, None),
+        (4, 0, None, 5, 3, 0, 0), (4, 1, None, 5, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "ledger_seq bigint, n_ops bigint, op_type string, fee_charged bigint, meta_version bigint, nonrefundable bigint, refundable bigint")
+    got = sorted(tuple(r) for r in fees.derive(df, fees.by_op_type()).collect())
+    assert got == [(2, "contract", f) for f in (-30, 60, 75)] + [(3, "classic", 35), (3, "classic", 70), (4, "classic", 5)]
+
+
+def test_recent_quantiles_are_off_by_few_ranks(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice("ab"), rnd.randrange(3600), rnd.choice([rnd.random(), 0.5, None])) for _ in range(20000)] + [(None, 10, 1.0), ("c", 10, None)]
+    df = spark.createDataFrame(rows, "k string, s bigint, x double").withColumn("t", F.timestamp_seconds("s"))
+    got = fees.recent_quantiles(df, "t", "x", "k").withColumn("start", F.unix_timestamp("start")).collect()
+    assert {r["k"] for r in got} == {None, "a", "b"} and len({r["start"] for r in got if r["k"] == "a"}) == 13
+    for r in got:
+        s = sorted(x for k, at, x in rows if k == r["k"] and x is not None and r["start"] <= at < r["start"] + 600)
+        assert r["n"] == len(s)
+        for p, error in fees.RECENT:
+            lo, hi = sum(x < r[f"q{p}"] for x in s), sum(x <= r[f"q{p}"] for x in s)
+            assert lo - error * len(s) - 1 <= p / 100 * len(s) <= hi + error * len(s) + 1, (r, p, len(s), lo, hi)
+
+
+def test_protocol_of_the_last_ledger(spark):
+    df = spark.createDataFrame([(5, 2, 22), (6, 1, 23)], "sequence bigint, meta_version bigint, protocol_version bigint")
+    assert lg.protocol_of(df) == 23
+    with pytest.raises(InvalidRequest, match="unsupported ledger meta version: 3"):
+        lg.protocol_of(df.unionByName(spark.createDataFrame([(7, 3, 24)], df.schema)))
+    with pytest.raises(InvalidRequest, match="DB is empty"):
+        lg.protocol_of(df.limit(0))
+
+
 def test_fees_against_plain_python(spark):
     rnd, rows = random.Random(4), []
     for k in range(200):
