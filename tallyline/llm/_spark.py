@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -41,6 +43,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(*dfs: DataFrame) -> None:
+    """Delete the folders of tables that stage() made and that nothing reads any more."""
+    for df in dfs:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of queries that are over: it does when the driver collects its garbage.
+
+    What the first round lets go may hold the last query; its files go in a thread of Spark's.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, or name with a number, that no column of df has in any case."""
     taken = {c.lower() for c in df.columns}

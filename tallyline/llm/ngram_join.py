@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._spark import keyed_join, shuffle_partitions, small_batches, stage, with_might_hold
+from ._spark import free_shuffles, keyed_join, shuffle_partitions, small_batches, stage, unstage, with_might_hold
 from ._text import _C1, _C2, LOWER, mix, raw, slices, span_hash, windows, words
 from .components import components
 
@@ -29,6 +29,10 @@ BLOCK, BLOCK_SHINGLES, LEADERS = 2000, 4 << 20, 32
 FREQUENT = 0.001
 #: Sets of a run of equal signatures up to which all pairs are counted; what a pair of a longer run counts for.
 RUN, ENOUGH = 8, 1 << 20
+#: What a set asks for at most once the signatures that chance makes equal are left out.
+STILL = 4
+#: Of the signatures that more than RUN sets hold, how many are left out, the most common first; bits of the bitmap that names them (16 MB).
+HOT_MOST, HOT_BITS = 1 << 24, 1 << 27
 #: Signatures that a task holds before it sends them, and shingles that it holds to count.
 HELD, COUNTED = 500_000, 1_500_000
 #: Largest number of rows (ids and hashes) that is broadcast.
@@ -103,7 +107,7 @@ def _level_groups(bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, n
 
 
 def _contents(sh: np.ndarray, row: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of d[r] groups of each row: a hash of the content, and whether the group is empty."""
+    """Of d[r] groups of each row: a hash of the content, and how many shingles it has."""
     base, total = np.cumsum(d) - d, int(d.sum())
     m = d[row] > 0
     sh, row = sh[m], row[m]
@@ -111,10 +115,16 @@ def _contents(sh: np.ndarray, row: np.ndarray, d: np.ndarray) -> tuple[np.ndarra
     content = mix(sh ^ _C2)
     lo = np.bincount(slot, (content & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
     hi = np.bincount(slot, (content >> np.uint64(32)).astype(float), total).astype(np.uint64)
-    return lo ^ mix(hi + _C1), np.bincount(slot, minlength=total) == 0
+    return lo ^ mix(hi + _C1), np.bincount(slot, minlength=total)
 
 
-def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _is_hot(sig: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the bit of each signature."""
+    at = sig & np.uint64(8 * len(hot) - 1)
+    return (hot[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, row, terms): linked sets that differ share as many as their terms say.
 
     A set of class c signs at levels c and c - 1; level l holds the pairs whose smaller
@@ -126,6 +136,12 @@ def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent:
     signs by the whole content of its groups too, which meets other such sets alone.
     Only if even so it asks for none, it signs by its empty groups as well. Terms hold
     what is asked for (63 at most), whole content or not, and the level's last bit.
+
+    hot is a bitmap of signatures that many sets hold; like empty groups they are no sign,
+    whole contents aside, and are taken off what is asked for. A set that then asks for t
+    leaves out t - r of its signatures and asks for r, t / 4 and STILL at most: all sets
+    leave out by one order, few shingles first, which chance makes equal most often, and
+    of t signatures that two sets share, r at least are left in both.
     """
     n = np.diff(begin)
     row = np.repeat(np.arange(len(n)), n)
@@ -143,12 +159,21 @@ def signatures(sh: np.ndarray, begin: np.ndarray, num: int, den: int, frequent:
         for whole in (0, 1):
             own = np.repeat(np.arange(len(n)), d)
             group = np.arange(len(own)) - np.repeat(np.cumsum(d) - d, d)
-            content, empty = _contents(sh, row, d) if whole else _contents(sh[rare], row[rare], d)
-            asked = d - far[lv] - np.bincount(own[empty], minlength=len(n))
-            use = ~empty | (asked < 1)[own] if whole else ~empty
-            own, group = own[use], group[use]
-            key = content[use] ^ mix(lv[own].astype(np.uint64) * _C2 + group.astype(np.uint64) * _C1 + np.uint64(7 + whole))
-            sigs.append(mix(key))
+            content, held = _contents(sh, row, d) if whole else _contents(sh[rare], row[rare], d)
+            sig = mix(content ^ mix(lv[own].astype(np.uint64) * _C2 + group.astype(np.uint64) * _C1 + np.uint64(7 + whole)))
+            void = held == 0
+            if hot is not None and not whole:
+                void |= _is_hot(sig, hot)
+            asked = d - far[lv] - np.bincount(own[void], minlength=len(n))
+            use = ~void | (asked < 1)[own] if whole else ~void
+            sig, own, held = sig[use], own[use], held[use]
+            if hot is not None:
+                less = np.maximum(asked - np.minimum(-(-asked // 4), STILL), 0)
+                o = np.lexsort((sig, held, own))
+                first = np.searchsorted(own, np.arange(len(n)))
+                o = o[np.arange(len(o)) - first[own] >= less[own]]
+                sig, own, asked = sig[o], own[o], asked - less
+            sigs.append(sig)
             rows.append(own)
             terms.append((np.clip(asked, whole, 63) * 4 + whole * 2 + (lv & 1)).astype(np.uint8)[own])
             d = np.where(asked < 1, d, 0)
@@ -293,9 +318,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no shingles and link with nothing. Equal sets are one class from the start, found by
     a map-side aggregate. Rows of a null id link others but name no component.
 
-    Scale: each pass reads every whole text once (sets and their keys; signatures; the
-    sets of candidates). Signatures travel packed, 13 bytes each, about
-    2.2 * (den - num) / num of the shingles. Candidate clusters above BLOCK sets or
+    Scale: each pass reads every whole text once (sets and their keys; signatures, to find
+    the common ones; signatures without these; the sets of candidates). Signatures travel
+    packed, 7 and then 14 bytes each, about 2.2 * (den - num) / num of the shingles. What
+    a pass shuffled goes before the next. Candidate clusters above BLOCK sets or
     BLOCK_SHINGLES shingles become blocks: each block is joined with itself and LEADERS
     common sets, and only blocks that still hold different components meet pairwise. The
     result does not depend on any of these numbers.
@@ -343,7 +369,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     frequent = np.sort(often.to_numpy(np.int64).view(np.uint64)) if len(often) else np.zeros(0, np.uint64)
     parts = 4 * shuffle_partitions(spark)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch], hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         held_s, held_r, held_t, size = [], [], [], 0
 
         def flush():
@@ -353,6 +379,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             part, sig, ref, terms = part[o].astype(np.int64), sig[o], ref[o], terms[o]
             cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
             ends = np.append(cut[1:], len(part))
+            if hot is None:  # sets are only counted, by two bytes of their names
+                ref, terms = ref.astype(np.uint16), terms[:0]
             blobs = [(sig[a:b].view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), ref[a:b].tobytes(), terms[a:b].tobytes()) for a, b in zip(cut, ends)]
             columns = [pa.array(c, pa.binary()) for c in (zip(*blobs) if blobs else ([], [], []))]
             return pa.RecordBatch.from_arrays([pa.array(part[cut].astype(np.int32)), *columns], ["part", "sig", "ref", "terms"])
@@ -368,7 +396,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     n = np.diff(begin)
                     sh, c1 = sh[np.repeat(keep, n)], c1[keep]
                     begin = np.append(0, np.cumsum(n[keep]))
-                sig, row, terms = signatures(sh, begin, num, den, frequent)
+                sig, row, terms = signatures(sh, begin, num, den, frequent, hot)
                 held_s.append(sig)
                 held_r.append(c1[row])
                 held_t.append(terms)
@@ -379,19 +407,36 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if size:
             yield flush()
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    def forty_bits(pdf: pd.DataFrame) -> np.ndarray:
         five = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, 5)
         sig = np.zeros((len(five), 8), np.uint8)
         sig[:, :5] = five
+        return sig.view(np.uint64).ravel()
+
+    def common(pdf: pd.DataFrame) -> pd.DataFrame:
+        both = np.unique(forty_bits(pdf) << np.uint64(16) | np.frombuffer(b"".join(pdf["ref"]), np.uint16).astype(np.uint64))
+        sig, m = np.unique(both >> np.uint64(16), return_counts=True)
+        return pd.DataFrame({"sig": sig[m > RUN].view(np.int64), "m": m[m > RUN]})
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         ref = np.frombuffer(b"".join(pdf["ref"]), np.int64)
         terms = np.frombuffer(b"".join(pdf["terms"]), np.uint8)
-        return pd.DataFrame(dict(zip(("a", "b", "kind", "shared", "asked"), _pairs_of_runs(sig.view(np.uint64).ravel(), ref, terms))))
-
-    met = src.mapInArrow(sign, "part int, sig binary, ref binary, terms binary").groupBy("part").applyInPandas(meet, "a bigint, b bigint, kind int, shared bigint, asked bigint")
+        return pd.DataFrame(dict(zip(("a", "b", "kind", "shared", "asked"), _pairs_of_runs(forty_bits(pdf), ref, terms))))
+
+    packed = "part int, sig binary, ref binary, terms binary"
+    free_shuffles(spark)
+    often_met = stage(src.mapInArrow(lambda batches: sign(batches, None), packed).groupBy("part").applyInPandas(common, "sig bigint, m bigint"), "hot")
+    hot = _bitmap(often_met)
+    free_shuffles(spark)
+    met = src.mapInArrow(lambda batches: sign(batches, hot), packed).groupBy("part").applyInPandas(meet, "a bigint, b bigint, kind int, shared bigint, asked bigint")
     near = met.groupBy("a", "b", "kind").agg(F.sum("shared").alias("shared"), F.max("asked").alias("asked")).filter("shared >= asked").select("a", "b")
+    near = stage(near, "near")
+    free_shuffles(spark)
     groups = components(near)
-    links = _verify(src, classes, groups, k, num, den)
+    links, used = _verify(src, classes, groups, k, num, den)
     found = components(links)
+    unstage(often_met, near, *used)
+    free_shuffles(spark)
     linked = classes.join(found, classes["sid"] == found["node"]).select("sid", "rep", F.col("component").alias("comp"))
     linked = stage(linked, "linked")
     least = stage(linked.groupBy("comp").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("m")), "least")
@@ -408,13 +453,33 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _bitmap(often: DataFrame) -> np.ndarray:
+    """Bitmap, 16 bits a signature and HOT_BITS at most, of the HOT_MOST most common signatures of often (sig, m).
+
+    Signatures of like m, up to a power of two, are in or out together.
+    """
+    counts = often.groupBy(F.floor(F.log2("m")).alias("l")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("l").desc()).collect()
+    n, least = 0, 64
+    for r in counts:
+        if n + r["c"] > HOT_MOST:
+            break
+        n, least = n + r["c"], r["l"]
+    bits = min(HOT_BITS, 1 << max(15, (16 * n).bit_length()))
+    slot = F.pmod(F.col("sig"), F.lit(bits))
+    rows = often.filter(F.floor(F.log2("m")) >= least).groupBy(F.floor(slot / 32768).alias("k")).agg(F.bitmap_construct_agg(slot % 32768).alias("b"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for r in rows.collect():
+        out[r["k"]] = np.frombuffer(r["b"], np.uint8)
+    return out.ravel()
+
+
 def _blocks(sets: str, shingles: str) -> Column:
     """How many blocks of BLOCK sets and BLOCK_SHINGLES shingles hold so many."""
     return F.ceil(F.greatest(F.col(sets) / BLOCK, F.col(shingles) / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
 
 
-def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between the sids of classes that connect every linked pair of a cluster."""
+def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between the sids of classes that connect every linked pair of a cluster, and the tables they are read from."""
     member = classes.join(groups, classes["c1"] == groups["node"]).select("sid", "rep", "th", "c1", "c2", "n", F.col("component").alias("cluster"))
     member = stage(member, "candidates")
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("cluster", "m", "s", _blocks("m", "s").alias("blocks"))
@@ -440,6 +505,8 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
 
     sets = texts.select("sid", "text", "c1", "c2", "cluster", "m", "s", "blocks").mapInArrow(sets_of, "sid bigint, cluster bigint, m bigint, s bigint, blocks int, hashes binary")
     sets = stage(sets.groupBy("sid").agg(*[F.first(c).alias(c) for c in ("cluster", "m", "s", "blocks", "hashes")]), "hashes")
+    free_shuffles(src.sparkSession)
+    used = [member, sets]
 
     def unpack(pdf: pd.DataFrame) -> list[np.ndarray]:
         return [np.frombuffer(b, np.uint64) for b in pdf["hashes"]]
@@ -469,7 +536,7 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
     links = small.groupBy("bucket").applyInPandas(join_all, ab)
     large = sets.filter("blocks > 1")
     if not large.limit(1).count():
-        return links
+        return links, used
 
     # blocks of a large cluster, each with the same few leaders
     order = F.xxhash64("sid", F.lit(5))
@@ -496,7 +563,8 @@ def _verify(src: DataFrame, classes: DataFrame, groups: DataFrame, k: int, num:
     pairs = blks.join(other, "cluster").filter("blk <= blk2 and (own is null or own2 is null or own <> own2)").select("cluster", "blk", "blk2")
     left = tagged.join(pairs, ["cluster", "blk"]).select("cluster", "blk", "blk2", "sid", "comp", "hashes", F.lit(0).alias("side"))
     right = tagged.withColumnRenamed("blk", "blk2").join(pairs.filter("blk <> blk2"), ["cluster", "blk2"]).select("cluster", "blk", "blk2", "sid", "comp", "hashes", F.lit(1).alias("side"))
-    return links.unionByName(left.unionByName(right).groupBy("cluster", "blk", "blk2").applyInPandas(join_two, ab))
+    used += [first, tagged]
+    return links.unionByName(left.unionByName(right).groupBy("cluster", "blk", "blk2").applyInPandas(join_two, ab)), used
 
 
 def _leaders(large: DataFrame, order) -> DataFrame:
