@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PERCENTS = (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 99)
@@ -63,15 +65,96 @@ def distribution(fees: DataFrame, ledgers: DataFrame, kind: str, latest: int, wi
 def sliding(fees: DataFrame, kind: str, window: int) -> DataFrame:
     """The distribution over the last `window` ledgers as of every ledger that has fees.
 
-    Fees of a ledger combine to (fee, count) first and then go to the windows that hold
-    the ledger, so what is copied is distinct fees and no join is needed.
+    Fees of a ledger combine to (fee, count) first. Windows that end in one block of
+    `window` ledgers are worked out together, from this block and the one before, so a
+    distinct fee is copied twice at most, whatever the window. Spark sorts a block by fee;
+    it then passes in batches, of which a task holds one.
     """
     some = fees.filter(F.col("kind") == kind)
-    hist = some.groupBy("ledger_seq", "fee").agg(F.count(F.lit(1)).alias("n"))
-    spread = hist.withColumn("as_of", F.explode(F.sequence(F.col("ledger_seq"), F.col("ledger_seq") + window - 1)))
-    with_fees = some.select("ledger_seq").distinct()
-    kept = spread.join(with_fees.withColumnRenamed("ledger_seq", "as_of"), "as_of", "left_semi")
-    return _stats(kept.groupBy("as_of", "fee").agg(F.sum("n").alias("n")), ["as_of"])
+    hist = some.groupBy("ledger_seq", "fee").agg(F.count(F.lit(1)).alias("n")).select("ledger_seq", F.lit(True).alias("counted"), "fee", "n")
+    totals = some.groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("n")).select("ledger_seq", F.lit(False).alias("counted"), F.lit(0).cast("bigint").alias("fee"), "n")
+    blocks = F.sequence(F.floor(F.col("ledger_seq") / window), F.floor((F.col("ledger_seq") + window - 1) / window))
+    dealt = hist.unionByName(totals).select(F.explode(blocks).alias("block"), "counted", "fee", "ledger_seq", "n")
+    rows = dealt.repartition("block").sortWithinPartitions("block", "counted", "fee")
+    cols = ["as_of", "max", "min", "mode", *[f"p{p}" for p in PERCENTS], "fee_count"]
+    return rows.mapInPandas(_blocks(window, cols), ", ".join(f"{c} bigint" for c in cols))
+
+
+def _blocks(window: int, cols: list[str]):
+    """A mapInPandas function over blocks: first the counts of their ledgers, then (fee, ledger, n) in order of fees."""
+
+    def run(parts):
+        block = None
+        for part in parts:
+            keys = part["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if block is None or block.number != keys[i]:
+                    if block is not None:
+                        yield block.rows(cols)
+                    block = _Block(int(keys[i]), window)
+                block.add(*[part[c].to_numpy()[i:j] for c in ("counted", "fee", "ledger_seq", "n")])
+        if block is not None:
+            yield block.rows(cols)
+
+    return run
+
+
+class _Block:
+    """The windows that end in ledgers number * window and the window - 1 after it; window i holds places i to i + window - 1."""
+
+    def __init__(self, number: int, window: int):
+        self.number, self.window, self.base = number, window, number * window - window + 1
+        self.counts = np.zeros(2 * window - 1, np.int64)
+        self.wait: tuple | None = None  # rows of the last fee, of which more may come
+        self.ranks = None
+
+    def add(self, counted, fee, seq, n) -> None:
+        heads = int(np.searchsorted(counted, True))
+        np.add.at(self.counts, seq[:heads] - self.base, n[:heads])
+        fee, at, n = fee[heads:], seq[heads:] - self.base, n[heads:]
+        if len(fee):
+            if self.wait is not None:
+                fee, at, n = (np.concatenate(x) for x in zip(self.wait, (fee, at, n)))
+            cut = int(np.searchsorted(fee, fee[-1]))
+            self.wait = fee[cut:], at[cut:], n[cut:]
+            self.take(fee[:cut], at[:cut], n[:cut])
+
+    def take(self, fee, at, n) -> None:
+        """Rows whose fees are whole."""
+        w = self.window
+        if self.ranks is None:
+            total = np.convolve(self.counts, np.ones(w, np.int64), "valid")
+            self.ranks = (total[:, None] * np.array(PERCENTS) + 99) // 100
+            self.due = [i for i in range(w) if self.counts[i + w - 1]]
+            self.upto, self.most, self.mode, self.low, self.high = (np.zeros(w, np.int64) for _ in range(5))
+            self.picks = np.zeros((w, len(PERCENTS)), np.int64)
+        for i in self.due:
+            here = (at >= i) & (at < i + w)
+            f = fee[here]
+            if not len(f):
+                continue
+            first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1])))
+            f, c = f[first], np.add.reduceat(n[here], first)
+            upto = self.upto[i] + np.cumsum(c)
+            found = (self.ranks[i] > self.upto[i]) & (self.ranks[i] <= upto[-1])
+            self.picks[i, found] = f[np.searchsorted(upto, self.ranks[i, found])]
+            top = int(np.argmax(c))
+            if c[top] > self.most[i]:
+                self.most[i], self.mode[i] = c[top], f[top]
+            if not self.upto[i]:
+                self.low[i] = f[0]
+            self.high[i], self.upto[i] = f[-1], upto[-1]
+
+    def rows(self, cols: list[str]) -> pd.DataFrame:
+        if self.wait is None:  # a block without fees holds no window
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
+        self.take(*self.wait)
+        due = np.array(self.due, np.int64)
+        as_of = self.number * self.window + due
+        return pd.DataFrame(dict(zip(cols, [as_of, self.high[due], self.low[due], self.mode[due], *self.picks[due].T, self.upto[due]])))
 
 
 def lower_index_quantiles(df: DataFrame, by: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
