@@ -117,21 +117,38 @@ def close_time(seq: Column) -> Column:
     return F.lit(788918400) + (seq - 1) * 86400
 
 
-def nested_ledgers(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Ledgers that hold their transactions, and those their events (an order's lines): see streaming.store.split."""
+def _nested(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """sequence and `all`, the ledger's (o_orderkey, successful, lines) in order: what nested ledgers derive from, without hashes."""
     orders = _between(table(spark, sf_dir, "orders"), "o_orderdate", *_day(first, last))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_quantity")
-    lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    if first is not None or last is not None:
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     line = F.struct("l_linenumber", F.col("l_suppkey").alias("contract_id"), F.col("l_returnflag").alias("topic1"), F.col("l_quantity").cast("bigint").alias("data"))
     ops = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    hash_ = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
-    inner = F.when(F.col("o_orderkey") % 5 == 0, F.sha2(F.concat(F.lit("inner"), F.col("o_orderkey").cast("string")).cast("binary"), 256))
-    events_ = F.transform("lines", lambda x: F.struct(x["contract_id"], x["topic1"], x["data"]))
-    tx = F.struct("o_orderkey", hash_.alias("key"), inner.alias("inner_key"), (F.col("o_orderstatus") != "F").alias("successful"), events_.alias("events"))
+    tx = F.struct("o_orderkey", (F.col("o_orderstatus") != "F").alias("successful"), "lines")
     seq = (F.lit(FIRST) + F.datediff("o_orderdate", F.lit(ORDER_EPOCH.date()))).cast("bigint")
-    some = orders.join(ops, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(seq.alias("sequence")).agg(F.sort_array(F.collect_list(tx)).alias("all"))
-    txs = F.transform("all", lambda x: F.struct(x["key"], x["inner_key"], x["successful"], x["events"]))
-    return some.select("sequence", close_time(F.col("sequence")).alias("close_time"), txs.alias("txs"))
+    return orders.join(ops, F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy(seq.alias("sequence")).agg(F.sort_array(F.collect_list(tx)).alias("all"))
+
+
+def _keyed(nested: DataFrame) -> DataFrame:
+    def tx(x: Column) -> Column:
+        text = x["o_orderkey"].cast("string")
+        inner = F.when(x["o_orderkey"] % 5 == 0, F.sha2(F.concat(F.lit("inner"), text).cast("binary"), 256))
+        events_ = F.transform(x["lines"], lambda y: F.struct(y["contract_id"], y["topic1"], y["data"]))
+        return F.struct(F.sha2(text.cast("binary"), 256).alias("key"), inner.alias("inner_key"), x["successful"], events_.alias("events"))
+
+    return nested.select("sequence", close_time(F.col("sequence")).alias("close_time"), F.transform("all", tx).alias("txs"))
+
+
+def nested_ledgers(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Ledgers that hold their transactions, and those their events (an order's lines): see streaming.store.split."""
+    return _keyed(_nested(spark, sf_dir, first, last))
+
+
+def stored_nested(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """As nested_ledgers, from a table by ledger bucket: lines are dealt to their ledgers once, not for each range; hashes are worked out when read."""
+    path, schema = lake.stored(spark, sf_dir, "nested", lambda: _nested(spark, sf_dir), "sequence", ["sequence"], ())
+    return _keyed(lake.read(spark, path, "sequence", first, last, schema))
 
 
 TX_SQL = """

@@ -1,12 +1,16 @@
 """What grows with the input: copies of rows, jobs, and scans."""
 
-from collections import Counter
+import datetime as dt
 import math
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline import queries as q
 from tallyline.operators import fees
+from tallyline.sources import views as v
 
 
 def made(df, operator):
@@ -46,3 +50,37 @@ def test_sliding_copies_a_fee_twice_at_most(spark, kind, window):
         want = {"as_of": s, "max": all_[-1], "min": all_[0], "mode": min(n, key=lambda x: (-n[x], x)), "fee_count": len(all_)}
         assert r.asDict() == want | {f"p{p}": all_[math.ceil(p * len(all_) / 100) - 1] for p in fees.PERCENTS}
     assert made(out, "GenerateExec") <= 2 * (len(set(rows)) + len(per))
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    """A folder with orders on most days of ledgers 2 to 2300 and their lines; some have none."""
+    d = str(tmp_path_factory.mktemp("orders"))
+    days = [(i, dt.datetime(1995, 1, 1) + dt.timedelta(days=i * 3 % 2299), "FO"[i % 3 > 0], i * 7 % 1000 + 0.5) for i in range(3000)]
+    lines = [(i, j, (i + j) % 9, "RAN"[j % 3], float(i % 50 + 1)) for i in range(3000) for j in range(i % 5)]
+    spark.createDataFrame(days, "o_orderkey bigint, o_orderdate timestamp_ntz, o_orderstatus string, o_totalprice double").coalesce(2).write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_returnflag string, l_quantity double").coalesce(2).write.parquet(f"{d}/lineitem.parquet")
+    return d
+
+
+def same(spark, d, name, tables):
+    got = [tuple(r) for r in q.Q[name](spark, d).collect()]
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    assert sorted(got, key=repr) == sorted(con.execute(q.SQL[name]).fetchall(), key=repr)
+    return got
+
+
+@pytest.fixture
+def asked(monkeypatch):
+    """Counts how often a given table is read."""
+    n, table = Counter(), v.table
+    monkeypatch.setattr(v, "table", lambda spark, d, name: n.update([name]) or table(spark, d, name))
+    return n
+
+
+def test_backfill_deals_the_lines_once(spark, orders, asked):
+    assert same(spark, orders, "backfill_resumed", ("orders", "lineitem"))
+    assert asked["lineitem"] == 1
