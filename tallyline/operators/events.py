@@ -72,6 +72,20 @@ def page(df: DataFrame, filters: Sequence[EventFilter] = (), after: str | None =
     return matching(df, filters).orderBy("id").limit(limit)
 
 
+def page_ends(df: DataFrame, filters: Sequence[EventFilter] = (), limit: int = 100) -> DataFrame:
+    """page (from 0), first and last (its ids) and n of all the pages of a walk, each from the cursor that the last gave.
+
+    Events are numbered inside their ledger, and what lies before a ledger is a sum over
+    counts, so the window without a key sees a row a ledger and no page is a scan of its own.
+    """
+    some = matching(df, filters).select("ledger_seq", "id")
+    before = F.coalesce(F.sum("in_ledger").over(Window.orderBy("ledger_seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = some.groupBy("ledger_seq").agg(F.count(F.lit(1)).alias("in_ledger")).select("ledger_seq", before.alias("before"))
+    at = F.row_number().over(Window.partitionBy("ledger_seq").orderBy("id")) - 1
+    paged = some.withColumn("at", at).join(starts, "ledger_seq").withColumn("page", F.expr(f"(before + at) div {limit}"))
+    return paged.groupBy("page").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
 def info(df: DataFrame, json: bool = False) -> DataFrame:
     """The response fields of events; topics and data in base64, or as JSON text."""
     if json:

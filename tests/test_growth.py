@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline import queries as q
-from tallyline.operators import fees
+from tallyline.operators import events as ev, fees
+from tallyline.plans import requests as rq
 from tallyline.sources import views as v
 
 
@@ -84,3 +85,33 @@ def asked(monkeypatch):
 def test_backfill_deals_the_lines_once(spark, orders, asked):
     assert same(spark, orders, "backfill_resumed", ("orders", "lineitem"))
     assert asked["lineitem"] == 1
+
+
+def hours(spark, d, n):
+    """n events in each of ledgers 199 to 211, but 205."""
+    rows = [(s * n + i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=s - 2, seconds=i), i % 5, "view", 1.0, '{"k":"1"}') for s in range(199, 212) if s != 205 for i in range(n)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1).write.parquet(f"{d}/events.parquet")
+    return str(d)
+
+
+def test_a_walk_takes_as_many_jobs_for_many_pages(spark, tmp_path):
+    jobs = []
+    for n in (7, 170):
+        d = hours(spark, tmp_path / str(n), n)
+        q.Q["ev_page_walk"](spark, d).count()  # stores the events
+        spark.sparkContext.setJobGroup(d, "walk")
+        assert len(same(spark, d, "ev_page_walk", ["events"])) == 10 * n
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(d)))
+        spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("n", [7, 10])
+def test_page_ends_are_those_of_a_walk(spark, tmp_path, n):
+    df, after, want = v.events(spark, hours(spark, tmp_path, n), 200, 210), None, []
+    while not want or want[-1][3] == 20:
+        ids = [r["id"] for r in ev.page(df, [ev.EventFilter(contracts=(0, 1, 2, 3))], after=after, limit=20).select("id").collect()]
+        after = rq.next_event_cursor(ids, 20, 211)
+        want.append((len(want), *(ids[:1] + ids[-1:] or (None, None)), len(ids)))
+    got = ev.page_ends(df, [ev.EventFilter(contracts=(0, 1, 2, 3))], 20).orderBy("page").collect()
+    assert [tuple(r) for r in got] == [x for x in want if x[3]] and len(got) > 2
