@@ -115,3 +115,9 @@ def test_page_ends_are_those_of_a_walk(spark, tmp_path, n):
         want.append((len(want), *(ids[:1] + ids[-1:] or (None, None)), len(ids)))
     got = ev.page_ends(df, [ev.EventFilter(contracts=(0, 1, 2, 3))], 20).orderBy("page").collect()
     assert [tuple(r) for r in got] == [x for x in want if x[3]] and len(got) > 2
+
+
+def test_streamed_events_are_numbered_once(spark, tmp_path, asked, monkeypatch):
+    monkeypatch.setattr(q, "STREAM_ROWS", 25)
+    assert len(same(spark, hours(spark, tmp_path, 10), "stream_ingest_equiv", ["events"])) == 120
+    assert asked["events"] == 2  # for the events and for the ledgers, whatever the number of batches
