@@ -123,6 +123,12 @@ def test_streamed_events_are_numbered_once(spark, tmp_path, asked, monkeypatch):
     assert asked["events"] == 2  # for the events and for the ledgers, whatever the number of batches
 
 
+def test_streamed_ledgers_deal_the_lines_once(spark, orders, asked):
+    v.lake._STORED.pop((spark.sparkContext.applicationId, orders, "nested"), None)
+    assert same(spark, orders, "store_ingest_trim", ("orders", "lineitem"))
+    assert asked["lineitem"] == 1
+
+
 def test_streamed_transactions_need_no_single_task(spark, orders, monkeypatch):
     bases, scratch = [], v.lake.scratch
     monkeypatch.setattr(v.lake, "scratch", lambda s, label: bases.append(scratch(s, label)) or bases[-1])
